@@ -23,16 +23,16 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + ", '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 SQL["op1_benchmark_decontamination"] = f"""
-WITH item AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark),
+WITH item AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[k:k + 9], ' ') AS win
   FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS k FROM item WHERE len(ws) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-doc AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+doc AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
 place AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM doc, sizes WHERE len(ws) >= n),
 found AS (
   SELECT p.doc_id, p.k, p.n, w.item_id
