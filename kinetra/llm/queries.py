@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import decontamination
+from kinetra.llm import decontamination, sharding
 from kinetra.session import table
 
 SQL: dict[str, str] = {}
@@ -45,3 +45,7 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
+
+
+def op2_best_fit_decreasing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
