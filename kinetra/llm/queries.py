@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import decontamination, sharding
+from kinetra.llm import decontamination, packing, sharding, tokens
 from kinetra.session import table
 
 SQL: dict[str, str] = {}
@@ -49,3 +49,11 @@ FROM doc d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 
 def op2_best_fit_decreasing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op6_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _tuned(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.public(TOKENIZER))
