@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import decontamination, packing, sharding, tokens
-from kinetra.session import table
+from kinetra.llm import decontamination, packing, sharding, tokens, tokenstore, topk
+from kinetra.session import shared_dir, table
 
 SQL: dict[str, str] = {}
 
@@ -57,3 +59,27 @@ TOKENIZER = "word_bpe_49k.json"
 def op6_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _tuned(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.public(TOKENIZER))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _tuned(spark)
+    path = f"{shared_dir(spark)}/kinetra-{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex[:12]}"
+    tokenstore.write(table(spark, sf_dir, "documents"), path, tokens.public(TOKENIZER))
+    return tokenstore.read(spark, path)
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set(ARROW_ROWS, "10000")
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op8_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair) WHERE rank <= 5
+"""
