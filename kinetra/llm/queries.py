@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import decontamination, packing, sharding, tokens, tokenstore, topk
+from kinetra.llm import decontamination, packing, quality, sharding, tokens, tokenstore, topk, toxicity
 from kinetra.session import shared_dir, table
 
 SQL: dict[str, str] = {}
@@ -83,3 +83,13 @@ pair AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair) WHERE rank <= 5
 """
+
+
+def op3_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _tuned(spark)
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _tuned(spark)
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

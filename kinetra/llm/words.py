@@ -83,10 +83,20 @@ class Words:
         self.start = np.flatnonzero(inside & ~before[:-1])
         self.end = np.flatnonzero(inside & ~after[1:]) + 1
         self.first = np.searchsorted(self.start, offsets)
-        power, inverse = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, U64)
-        np.cumsum(low * power[:-1], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        power, self._inverse = powers(len(data) + 1)
+        self._total = np.zeros(len(data) + 1, U64)
+        np.cumsum(low * power[:-1], out=self._total[1:])
+        self.hash = self._between(self.end)
+
+    def _between(self, end: np.ndarray) -> np.ndarray:
+        length = (end - self.start).astype(U64)
+        return mix((self._total[end] - self._total[self.start]) * self._inverse[self.start] + length * U64(0xD6E8FEB86659FD93))
+
+    def prefix(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which words are at least size bytes long, hashes of their first size bytes)."""
+        long = np.flatnonzero(self.end - self.start >= size)
+        start = self.start[long]
+        return long, mix((self._total[start + size] - self._total[start]) * self._inverse[start] + U64(size * 0xC2B2AE3D27D4EB4F % 2**64))
 
     def row(self) -> np.ndarray:
         """The row of each word."""
