@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import decontamination, packing, quality, sharding, tokens, tokenstore, topk, toxicity
+from kinetra.llm import decontamination, packing, quality, sharding, suffixes, tokens, tokenstore, topk, toxicity
 from kinetra.session import shared_dir, table
 
 SQL: dict[str, str] = {}
@@ -93,3 +93,8 @@ def op3_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     _tuned(spark)
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _tuned(spark)
+    return suffixes.digest(table(spark, sf_dir, "documents"))
