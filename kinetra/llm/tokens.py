@@ -12,10 +12,40 @@ import json
 import os
 
 import numpy as np
+import regex
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 CACHED_LENGTH = 64
 
+#: Characters that normalization leaves alone but for lower-casing each: printable ASCII and Latin letters.
+_PLAIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]+")
+
+
+def _byte_table() -> dict[int, str]:
+    """The printable stand-in of each byte in a byte-level vocabulary: itself if printable, else the next free from 256."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(256, 512))
+    return {b: chr(b if b in kept else next(free)) for b in range(256)}
+
+
+_BYTES = _byte_table()
+
+
+
+class _Cache(dict):
+    """A table that makes its missing entries, and is emptied when it is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Encoder:
@@ -29,36 +59,41 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.apart = self._splits_at_white_space(spec)
-        self.cache: dict[str, bytes] = {}
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.parts = _Cache(self._part)
+        self.words = _Cache(self._word)
+        if self.apart:
+            self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
     @staticmethod
     def _splits_at_white_space(spec: dict) -> bool:
         """Whether the file's own pre-tokenizer takes only runs free of white space, and special tokens hold none."""
-        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        kinds = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        first = kinds[0]
         drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern", {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        steps = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])}
+        drops = drops and len(kinds) == 2 and kinds[1].get("type") == "ByteLevel" and not kinds[1]["add_prefix_space"] and not kinds[1]["use_regex"]
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         plain = all(" " not in t["content"] and "\n" not in t["content"] and not t["single_word"] for t in spec.get("added_tokens", []))
-        return drops and steps <= {"NFC", "Replace", "Lowercase"} and plain
+        return drops and steps == ["NFC", "Replace", "Lowercase"] and plain and spec.get("post_processor") is None
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of the pre-tokenizer, by the file's model."""
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))])
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part without spaces. Plain Latin parts skip the normalizer, which only lower-cases them."""
+        if _PLAIN.fullmatch(part) and not any(t in part for t in self.special):
+            return b"".join([self.words[w] for w in self.pattern.findall(part.lower())])
+        return self._pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
+
     def encode(self, text: str) -> bytes:
         if not self.apart:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        parts = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in parts])
-        except KeyError:
-            pass
-        new = [p for p in set(parts) if p not in cache]
-        packed = {p: self._pack(e.ids) for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        out = b"".join([cache[p] if p in cache else packed[p] for p in parts])
-        if len(cache) + len(packed) > CACHE_ENTRIES:
-            cache.clear()
-        cache.update((p, b) for p, b in packed.items() if len(p) <= CACHED_LENGTH)
-        return out
+        parts = self.parts
+        return b"".join([parts[p] for p in text.replace("\n", " ").split(" ")])
 
 
 _encoders: dict[str, Encoder] = {}
