@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,28 @@ def local_session(app: str = "kinetra", cores: str = "8", partitions: int = 8) -
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each context, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_kinetra_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="kinetra-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, "kinetra.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for at, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(at, f)
+                    z.write(path, os.path.join("kinetra", os.path.relpath(path, root)))
+    context.addPyFile(name)
+    context._kinetra_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path, so any store works."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
