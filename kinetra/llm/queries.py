@@ -5,23 +5,25 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinetra.llm import decontamination, packing, quality, sharding, suffixes, tokens, tokenstore, topk, toxicity
-from kinetra.session import shared_dir, table
+from kinetra.llm import decontamination, neardup, packing, quality, sharding, suffixes, tokens, tokenstore, topk, toxicity
+from kinetra.session import shared_dir, ship, table
 
 SQL: dict[str, str] = {}
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def _tuned(spark: SparkSession) -> SparkSession:
+def tuned(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a worker holds few texts at once."""
+    ship(spark)
     spark.conf.set(ARROW_ROWS, "1000")
     return spark
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _tuned(spark)
+    tuned(spark)
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -57,12 +59,12 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op6_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _tuned(spark)
+    tuned(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.public(TOKENIZER))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _tuned(spark)
+    tuned(spark)
     path = f"{shared_dir(spark)}/kinetra-{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex[:12]}"
     tokenstore.write(table(spark, sf_dir, "documents"), path, tokens.public(TOKENIZER))
     return tokenstore.read(spark, path)
@@ -86,15 +88,22 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def op3_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _tuned(spark)
+    tuned(spark)
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _tuned(spark)
+    tuned(spark)
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _tuned(spark)
+    tuned(spark)
     return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_weighted_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document, and whether it is the one that stays."""
+    tuned(spark)
+    found = neardup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("keeps"))
