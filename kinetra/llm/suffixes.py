@@ -113,6 +113,8 @@ def _parts(data: np.ndarray, offsets: np.ndarray, span: int) -> Iterator[tuple[i
 
 def _runs(order: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of maximal runs of starts, as (rows of order that begin a run, counts); order sorts by document and lo."""
+    if not len(order):
+        return order, order
     d, t, s, n = doc[order], tag[order], lo[order], count[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + n[:-1])
