@@ -1,19 +1,6 @@
-"""Registry of the queries that exercise the engine's operators on the driver's tables."""
+"""All queries over the driver's tables."""
 
-from __future__ import annotations
+from kinetra.plans import motion  # noqa: F401
+from kinetra.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from kinetra.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def stream_usability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").count()
-
-
-QUERIES["stream_usability"] = stream_usability
+__all__ = ["ORACLE_SQL", "QUERIES"]
