@@ -1,6 +1,6 @@
 """All queries over the driver's tables."""
 
-from kinetra.plans import motion, relational  # noqa: F401
+from kinetra.plans import motion, relational, sequential  # noqa: F401
 from kinetra.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
