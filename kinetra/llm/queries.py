@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import decontamination, neardup, packing, quality, sharding, suffixes, tokens, tokenstore, topk, toxicity
+from kinetra.llm import decontamination, neardup, packing, quality, sharding, suffixes, tokens, tokenstore, topk, toxicity, wrappers
 from kinetra.session import shared_dir, ship, table
 
 SQL: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op5_weighted_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> Da
     tuned(spark)
     found = neardup.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("keeps"))
+
+
+def op4_union_free_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    out = wrappers.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
