@@ -21,8 +21,9 @@ MARKS = frozenset(
     discussion pagination pager skip skiplink form hidden""".split()
 )
 #: Marks of page headers; inside the article they hold its own heading.
-HEADER_MARKS = frozenset(["header", "masthead", "topbar", "site-header"])
-ARTICLE_MARKS = frozenset("article content post entry story main body text".split())
+HEADER_MARKS = frozenset(["header", "masthead", "topbar"])
+SITE_MARKS = frozenset(["site", "page", "global", "top", "masthead", "topbar"])
+ARTICLE_MARKS = frozenset("article content post entry story".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
@@ -55,8 +56,20 @@ def _element(name: str, attributes: str) -> tuple[str, bool]:
     return out, drop
 
 
-def _is_header(name: str, signature: str) -> bool:
-    return name == "header" or not HEADER_MARKS.isdisjoint(_SPLIT.split(signature.partition(".")[2]))
+def _named(signature: str) -> list[str]:
+    """Words of an element's class or id."""
+    return _SPLIT.split(signature.partition("." if "." in signature else "#")[2])
+
+
+def like_article(signature: str) -> bool:
+    return not signature.startswith(("body", "html")) and not ARTICLE_MARKS.isdisjoint(_named(signature))
+
+
+def _foreign_header(signature: str, within: bool) -> bool:
+    """Whether an element is a page's header rather than the article's own."""
+    words = _named(signature)
+    header = signature.partition(".")[0].partition("#")[0] == "header" or not HEADER_MARKS.isdisjoint(words)
+    return header and (not within or not SITE_MARKS.isdisjoint(words))
 
 
 def blocks(page: str) -> list[tuple[str, bool, str]]:
@@ -78,10 +91,9 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             text.clear()
             if words:
                 signs = [s for _, s, _ in stack]
-                names = {n for n, _, _ in stack}
-                within = "article" in names or "main" in names
+                within = any(n in ("article", "main") or like_article(s) for n, s, _ in stack)
                 drop = any(d for _, _, d in stack) or (leaf is not None and leaf[2])
-                drop = drop or not within and any(_is_header(n, s) for n, s, _ in stack)
+                drop = drop or any(_foreign_header(s, within) for s in signs)
                 if leaf is not None:
                     signs.append(leaf[1])
                 out.append(("/".join(signs), drop, " ".join(words)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.llm.htmlblocks import _SPLIT, ARTICLE_MARKS, blocks
+from kinetra.llm.htmlblocks import blocks, like_article
 from kinetra.session import durable
 
 LEAST_PAGES = 4
@@ -183,7 +183,7 @@ def keeps(wrapper: list[Node]) -> list[bool]:
         for depth in range(len(elements)):
             weight["/".join(elements[:depth])] += wrapper[k][6]
     total = weight.get("", 0)
-    named = [p for p, chars in weight.items() if p and chars >= SHARE * total and not ARTICLE_MARKS.isdisjoint(_SPLIT.split(p.rpartition("/")[2].partition(".")[2] or p.rpartition("#")[2]))]
+    named = [p for p, chars in weight.items() if chars >= SHARE * total and like_article(p.rpartition("/")[2])]
     whole = [p for p, chars in weight.items() if chars >= WHOLE * total]
     main = max(named or whole or [""], key=lambda p: p.count("/") + bool(p))
     return [k in set(left) and (wrapper[k][0] + "/").startswith(main + "/" if main else "") for k in range(len(wrapper))]
