@@ -118,7 +118,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12) -> tuple[
     cluster = np.arange(k)
     model: dict = {}
     for round_ in range(rounds):
-        prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
+        prior = np.clip((gold[known] == 1).mean() if known.any() else post.mean(), 1e-4, 1 - 1e-4)
         yes = np.clip((post @ v + 0.1) / (post.sum() + 1), 1e-5, 1 - 1e-5)
         no = np.clip(((1 - post) @ v + 0.1) / ((1 - post).sum() + 1), 1e-5, 1 - 1e-5)
         if round_ == 2:
@@ -128,7 +128,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12) -> tuple[
             for j in range(k):
                 cluster[np.flatnonzero(together[j])] = cluster[np.flatnonzero(together[j])].min()
         share = 1 / np.bincount(cluster, minlength=k)[cluster]
-        # An absent word says little: only votes count, and what abstaining says is left to the prior.
+        # An absent word says little: only votes count, and the prior (of labelled rows, if any) stands for the rest.
         odds = np.log(prior / (1 - prior)) + v @ (share * np.log(yes / no))
         odds += np.where(known, np.where(gold == 1, 1, -1) * np.log(ANNOTATOR / (1 - ANNOTATOR)), 0)
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
