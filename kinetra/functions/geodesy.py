@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinetra.functions.quaternions import let
+
 #: Mean Earth radius, WGS-84 semi-major axis and first eccentricity squared.
 EARTH_RADIUS_M = 6371008.8
 WGS84_A = 6378137.0
@@ -32,20 +34,28 @@ def ecef(lat: Column, lon: Column, alt: Column) -> Column:
 
 def from_ecef(x: Column, y: Column, z: Column, steps: int = 8) -> Column:
     """struct lat, lon (degrees), alt, by fixed-point steps on the latitude."""
-    p = F.sqrt(x * x + y * y)
+    return let(F.struct(x.alias("x"), y.alias("y"), z.alias("z"), F.sqrt(x * x + y * y).alias("p")), lambda v: _geodetic(v["x"], v["y"], v["z"], v["p"], steps))
+
 
+def _geodetic(x: Column, y: Column, z: Column, p: Column, steps: int) -> Column:
     def step(lat: Column, _: Column) -> Column:
         n = F.lit(WGS84_A) / F.sqrt(1 - F.lit(WGS84_E2) * F.pow(F.sin(lat), 2))
         return F.atan2(z + F.lit(WGS84_E2) * n * F.sin(lat), p)
 
-    lat = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.atan2(z, p * (1 - WGS84_E2)), step)
-    n = F.lit(WGS84_A) / F.sqrt(1 - F.lit(WGS84_E2) * F.pow(F.sin(lat), 2))
-    return F.struct(F.degrees(lat).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"), (p / F.cos(lat) - n).alias("alt"))
+    def placed(lat: Column) -> Column:
+        n = F.lit(WGS84_A) / F.sqrt(1 - F.lit(WGS84_E2) * F.pow(F.sin(lat), 2))
+        return F.struct(F.degrees(lat).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"), (p / F.cos(lat) - n).alias("alt"))
+
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.atan2(z, p * (1 - WGS84_E2)), step), placed)
 
 
 def enu(lat: Column, lon: Column, alt: Column, lat0: float, lon0: float, alt0: float = 0.0) -> Column:
     """struct e, n, u: the ECEF offset from a reference point turned into its tangent frame."""
-    here, there = ecef(lat, lon, alt), ecef(F.lit(lat0), F.lit(lon0), F.lit(alt0))
+    both = F.struct(ecef(lat, lon, alt).alias("a"), ecef(F.lit(lat0), F.lit(lon0), F.lit(alt0)).alias("b"))
+    return let(both, lambda p: _turned(p["a"], p["b"], lat0, lon0))
+
+
+def _turned(here: Column, there: Column, lat0: float, lon0: float) -> Column:
     dx, dy, dz = (here[k] - there[k] for k in "xyz")
     p, q = F.radians(F.lit(lat0)), F.radians(F.lit(lon0))
     return F.struct(
@@ -78,9 +88,9 @@ def tile_bounds(key: Column) -> Column:
 def point_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """struct distance, fraction: the nearest point of a segment to a point."""
     length2 = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
-    t = F.when(length2 > 0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / length2).otherwise(F.lit(0.0))
+    t = F.coalesce(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / F.nullif(length2, F.lit(0.0)), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return F.struct(F.sqrt(F.pow(px - ax - t * (bx - ax), 2) + F.pow(py - ay - t * (by - ay), 2)).alias("distance"), t.alias("fraction"))
+    return let(t, lambda t: F.struct(F.sqrt(F.pow(px - ax - t * (bx - ax), 2) + F.pow(py - ay - t * (by - ay), 2)).alias("distance"), t.alias("fraction")))
 
 
 def polyline_length(points: Column) -> Column:
@@ -98,9 +108,12 @@ def nearest_on_polyline(px: Column, py: Column, points: Column) -> Column:
     def step(s: Column, leg: Column) -> Column:
         p, q = leg["p"], leg["q"]
         size = F.sqrt(F.pow(q["x"] - p["x"], 2) + F.pow(q["y"] - p["y"], 2))
-        near = point_segment(px, py, p["x"], p["y"], q["x"], q["y"])
-        closer = near["distance"] < s["distance"]
-        return F.struct(F.when(closer, near["distance"]).otherwise(s["distance"]).alias("distance"), F.when(closer, s["done"] + near["fraction"] * size).otherwise(s["along"]).alias("along"), (s["done"] + size).alias("done"))
+
+        def nearer(near: Column) -> Column:
+            closer = near["distance"] < s["distance"]
+            return F.struct(F.when(closer, near["distance"]).otherwise(s["distance"]).alias("distance"), F.when(closer, s["done"] + near["fraction"] * size).otherwise(s["along"]).alias("along"), (s["done"] + size).alias("done"))
+
+        return let(point_segment(px, py, p["x"], p["y"], q["x"], q["y"]), nearer)
 
     found = F.aggregate(legs, zero, step)
     return F.struct(found["distance"].alias("distance"), found["along"].alias("along"))
