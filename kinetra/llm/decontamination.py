@@ -9,7 +9,8 @@ sampled suffix positions, and hit words that touch are merged into removal spans
 The benchmark is sent to the executors in blocks of at most BLOCK_BYTES; each further block is another pass that
 adds to the hits, so its size is not bounded by memory.
 
-Defined results: a null or empty text has no words and no hits; a null benchmark text has no windows; items with equal
+Defined results: a null or empty text has no words and no hits; a null benchmark text has no windows, an item
+without item_id is left out; items with equal
 windows all count; repeated rows are judged row by row; other columns of either table are ignored.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.llm.fmindex import FMIndex
-from kinetra.llm.words import U64, Words, chunks, mix, utf8
+from kinetra.llm.words import Words, chunks, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -146,13 +147,13 @@ def _passes(phrases: Phrases, first_pass: bool):
                 opens = np.ones(len(hits), bool)
                 opens[1:] = (hits[1:] != hits[:-1] + 1) | (hit_row[1:] != hit_row[:-1])
                 closes = np.append(opens[1:], True)[: len(hits)]
-                base = words_base = (offsets[a : b + 1] - offsets[a])[hit_row]
+                base = (offsets[a : b + 1] - offsets[a])[hit_row]
                 columns = [
                     pa.array(np.diff(words.first), pa.int64()),
                     _lists((hits - words.first[hit_row]).astype(np.int32), hit_row, b - a, pa.int32()),
                     _lists(items, item_row, b - a, pa.int64()),
                     _lists((words.start[hits] - base)[opens].astype(np.int32), hit_row[opens], b - a, pa.int32()),
-                    _lists((words.end[hits] - words_base)[closes].astype(np.int32), hit_row[closes], b - a, pa.int32()),
+                    _lists((words.end[hits] - base)[closes].astype(np.int32), hit_row[closes], b - a, pa.int32()),
                 ]
                 kept = [k for k in batch.schema.names if k not in dict(_FIELDS)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in kept), *columns], names=[*kept, *dict(_FIELDS)])
@@ -164,7 +165,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
     """The items of benchmark, at most limit bytes at once; a longer item is a block of its own."""
     block: list[tuple[int, str | None]] = []
     size = 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
+    for r in benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull()).toLocalIterator():
         n = len((r[1] or "").encode())
         if block and size + n > limit:
             yield block

@@ -21,7 +21,8 @@ ranges of doc_id, at most RANGES of them (at most that many numbers reach the dr
 shards of about SHARD_BYTES.
 
 Defined results: a null or empty text is a document with the end id only; rows with equal doc_id lie next to each
-other, ordered by their ids; an empty table makes a store without shards; other columns are ignored.
+other, ordered by their ids; rows without doc_id have no place in that order and are left out; an empty table makes a
+store without shards; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,9 +9,9 @@ bound reaches the k-th best score so far, so the result is exact whatever the pi
 Queries go to the executors in blocks of at most BLOCK queries, each against all rows; every partition returns its k
 best for each query, and those are merged. Work per task is bounded by its own rows and one block.
 
-Defined results: vectors that are null, or hold a null or a component that is not finite, take no part (a whole column
-of other lengths than the most common one's is refused); ties go to the smaller vec_id; a row is never its own
-candidate, but another row with an equal vec_id and vector counts once for each row; k or fewer candidates give all.
+Defined results: vectors that are null, hold a null or a component that is not finite, have no vec_id, or have another
+length than most take no part; ties go to the smaller vec_id; rows with a query's vec_id are its own and no candidates
+of it (of several such rows the least vector asks); other repeated rows count once each; k or fewer candidates give all.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     x = F.col("embedding")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf"))))
     kept = vectors.select("vec_id", "embedding").filter(x.isNotNull() & F.col("vec_id").isNotNull() & ~bad)
+    sizes = kept.groupBy(F.size(x).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
+    kept = kept.filter(F.size(x) == (sizes[0].n if sizes else 0))
     return kept.select("vec_id", F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(float(SCALE))).cast("double")).alias("v"))
 
 
@@ -111,7 +113,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS)
     table = np.array([r.v for r in chosen], np.float64)
     if not len(chosen):
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
+    queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     parts: DataFrame | None = None
     ids: list[int] = []
     vs: list[list[float]] = []
