@@ -42,7 +42,8 @@ def _element(name: str, attributes: str) -> tuple[str, bool]:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "class" or key == "id":
             parts = [p for p in _SPLIT.split(value) if p]
-            drop |= not MARKS.isdisjoint(parts) and name not in ("body", "html", "main", "article")
+            marked = not MARKS.isdisjoint(parts)
+            drop |= marked and (ARTICLE_MARKS.isdisjoint(parts) if name == "article" else name not in ("body", "html", "main"))
             if key == "class":
                 out = f"{name}.{'.'.join(value.split())}"
             elif key == "id" and "." not in out and not any(c.isdigit() for c in value):

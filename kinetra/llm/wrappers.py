@@ -31,7 +31,7 @@ from kinetra.llm.htmlblocks import blocks, like_article
 from kinetra.session import durable
 
 LEAST_PAGES = 4
-NODES = 512
+NODES = 200
 HOSTS = 2000
 SALTS = 32
 BROADCAST_BYTES = 32 << 20

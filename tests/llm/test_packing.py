@@ -148,6 +148,11 @@ def test_wrappers(spark, nothing):
     assert len(got[3]) == 2 and got[100] == [""] and got[102] == [""] and got[101] == ["alone"] and got[103] == ["T & U\none\ntwo"]
 
 
+def test_comments_may_be_articles():
+    got = blocks('<article class="post no-comments"><p>text</p></article><article class="comment"><p>nice</p></article><p class="ad">buy</p>')
+    assert [(drop, text) for _, drop, text in got] == [(False, "text"), (True, "nice"), (True, "buy")]
+
+
 @given(st.text(alphabet="<>/pdiv \"'=!-abc&;", max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_any_markup_is_read(raw):
