@@ -106,14 +106,14 @@ def a32_mean_rotation(spark, d):
     return m.select("user_id", F.round("q.w", 6).alias("w"), F.round("q.z", 6).alias("z"))
 
 
-@query("""WITH p AS (SELECT l_orderkey, l_quantity AS x, l_extendedprice / 1000 AS y, row_number() OVER w AS i, lead(l_quantity) OVER w AS x1, lead(l_extendedprice / 1000) OVER w AS y1, lead(l_quantity, 2) OVER w AS x2, lead(l_extendedprice / 1000, 2) OVER w AS y2 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+@query("""WITH p AS (SELECT l_orderkey, l_quantity AS x, l_extendedprice / 1000 AS y, row_number() OVER w AS i, lead(l_quantity) OVER w AS x1, lead(l_extendedprice / 1000) OVER w AS y1, lead(l_quantity, 2) OVER w AS x2, lead(l_extendedprice / 1000, 2) OVER w AS y2 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)),
 c AS (SELECT l_orderkey, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) + sqrt(pow(x1 - x, 2) + pow(y1 - y, 2)) AS len, atan2(y2 - y1, x2 - x1) - atan2(y1 - y, x1 - x) AS d FROM p WHERE x2 IS NOT NULL), k AS (SELECT l_orderkey, len, abs((d + pi()) - 2 * pi() * floor((d + pi()) / (2 * pi())) - pi()) / nullif(len, 0) AS k FROM c)
 SELECT l_orderkey, round(sum(k * len) / sum(len), 6) AS curvature, round(quantile_cont(k, 0.95), 6) AS p95 FROM k GROUP BY 1""")
 def a37_edge_curvature(spark, d):
     """Length-weighted mean and 95th percentile of turning per length along a line."""
     from kinetra.functions.angles import separation
 
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "x", "y")
     p = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     p = p.withColumns({f"{c}{n}": F.lead(c, n).over(w) for c in "xy" for n in (1, 2)}).filter("x2 is not null")
     leg = lambda a, b: F.sqrt(F.pow(F.col(f"x{b}") - F.col(f"x{a}"), 2) + F.pow(F.col(f"y{b}") - F.col(f"y{a}"), 2))

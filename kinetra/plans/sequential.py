@@ -206,7 +206,7 @@ def f_category_codes(spark, d):
     return p.join(codes, "p_type", "left").select("p_partkey", F.coalesce("code", F.lit(-1)).cast("long").alias("code"))
 
 
-@query("""WITH c AS (SELECT l_orderkey, list({'x': l_quantity, 'y': l_extendedprice / 1000} ORDER BY l_linenumber, l_partkey, l_suppkey) AS pts FROM lineitem GROUP BY 1)
+@query("""WITH c AS (SELECT l_orderkey, list({'x': l_quantity, 'y': l_extendedprice / 1000} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pts FROM lineitem GROUP BY 1)
 SELECT l_orderkey, round(list_sum(list_transform(range(1, len(pts)), lambda i: sqrt(pow(pts[i + 1].x - pts[i].x, 2) + pow(pts[i + 1].y - pts[i].y, 2)))), 4) AS length FROM c WHERE len(pts) > 1""")
 def a39_polyline_length(spark, d):
     pts = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y")))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
