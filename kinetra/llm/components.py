@@ -23,15 +23,20 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(moved.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _mark(links: DataFrame) -> tuple:
+    """Count and two hash sums of distinct links: equal for equal sets, and by a chance of 2^-64 for others."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.hash("b", "a"), F.lit(1 << 30)))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link (a, b), but for roots themselves; root is the least id of the component.
 
     Minima are partial aggregates and joins may be split where a node has very many links; no component meets in one task.
     """
     links = durable(links.select("a", "b").filter("a <> b").distinct(), "links")
+    mark = _mark(links)
     while True:
-        moved = durable(_small_star(_large_star(links)), "stars")
-        changed = moved.exceptAll(links).limit(1).count() + links.exceptAll(moved).limit(1).count()
-        links = moved
-        if not changed:
+        links = durable(_small_star(_large_star(links)), "stars")
+        before, mark = mark, _mark(links)
+        if mark == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
