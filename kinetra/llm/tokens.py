@@ -14,7 +14,8 @@ import os
 import numpy as np
 import regex
 
-CACHE_ENTRIES = 1_000_000
+#: Entries of a worker's tables (each keeps up to twice as many, of about 200 bytes): parts of texts, and words.
+PARTS, WORDS = 100_000, 250_000
 CACHED_LENGTH = 64
 
 #: Characters that normalization leaves alone but for lower-casing each: printable ASCII and Latin letters.
@@ -33,16 +34,20 @@ _BYTES = _byte_table()
 
 
 class _Cache(dict):
-    """A table that makes its missing entries, and is emptied when it is full."""
+    """A table that makes its missing entries. When it is full it becomes the old one, from which used entries return."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= CACHED_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -60,8 +65,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.apart = self._splits_at_white_space(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.parts = _Cache(self._part)
-        self.words = _Cache(self._word)
+        self.parts = _Cache(self._part, PARTS)
+        self.words = _Cache(self._word, WORDS)
         if self.apart:
             self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
@@ -85,6 +90,12 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of a part without spaces. Plain Latin parts skip the normalizer, which only lower-cases them."""
+        if part.isascii() or _PLAIN.fullmatch(part):
+            if part.isalpha():
+                return self.words[part.lower()]
+            head, last = part[:-1], part[-1:]
+            if head.isalpha() and "!" <= last <= "~":
+                return self.words[head.lower()] + self.words[last]
         if _PLAIN.fullmatch(part) and not any(t in part for t in self.special):
             return b"".join([self.words[w] for w in self.pattern.findall(part.lower())])
         return self._pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
