@@ -147,3 +147,25 @@ def test_many_near_copies_stay_linear_and_whole(spark):
         rows.append((k, " ".join(copy)))
     got = {r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 60_000])
+def test_near_pairs_inside_a_template_family(spark, monkeypatch, block):
+    """Texts (a, b) of one template are too far from each other, but for (a, 2k) and (a, 2k + 1), which share a change."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block)
+    base, rows = prose(9, 520).split(), []
+    for a in range(17):
+        for b in range(17):
+            copy = list(base)
+            for c in range(6):
+                copy[5 * (17 * c + (a + c * b) % 17) + 4] = f"shared{a}x{b // 2}" if c == 0 else f"own{a}x{b}x{c}"
+            rows.append((17 * a + b, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rare, table = neardup.rarity(df), []
+    for _, text in rows:
+        _, h, level = neardup.shingles(*utf8(__import__("pyarrow").array([text])), rare)
+        table.append((h, 2.0 ** (level / 8)))
+    near = {(i, j) for i in range(len(rows)) for j in range(i) if neardup.similarity(*table[i], *table[j]) >= neardup.SIMILARITY}
+    assert near == {(17 * a + b + 1, 17 * a + b) for a in range(17) for b in range(0, 16, 2)}
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    assert got == {d: d - (d % 17) % 2 if d % 17 < 16 else d for d, _ in rows}
