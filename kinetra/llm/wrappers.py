@@ -1,6 +1,6 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from pages of one host.
 
-A page is a stream of blocks; neighbouring blocks of one path are one token. A host's wrapper is a sequence of nodes, each
+A page is a stream of blocks; neighbouring blocks of one path and one fate (dropped or not) are one token. A host's wrapper is a sequence of nodes, each
 a path with a text part, and each possibly optional or repeated. It starts as the first page and is aligned with page
 after page: tokens that only one side has become optional nodes, several blocks in a token make it a repeated group, and
 texts that differ become slots (a node whose text never differed is template text). Wrappers align with wrappers the
@@ -42,11 +42,15 @@ SHARE, WHOLE = 0.6, 0.9
 Node = list
 
 
+def _key(node: Node) -> tuple[str, bool]:
+    return node[0], node[1]
+
+
 def tokens(page: list[tuple[str, bool, str]]) -> list[Node]:
     """A page as a wrapper of its own."""
     out: list[Node] = []
     for path, drop, text in page:
-        if out and out[-1][0] == path:
+        if out and _key(out[-1]) == (path, drop):
             out[-1][3], out[-1][4] = True, None
             out[-1][6] += len(text)
         else:
@@ -54,7 +58,7 @@ def tokens(page: list[tuple[str, bool, str]]) -> list[Node]:
     return out
 
 
-def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+def _common(a: list[tuple[str, bool]], b: list[tuple[str, bool]]) -> list[tuple[int, int]]:
     """Places of a longest common subsequence; equal ends are matched first."""
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
@@ -86,7 +90,7 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     i = j = 0
 
     def add(node: Node) -> None:
-        if out and out[-1][0] == node[0]:
+        if out and _key(out[-1]) == _key(node):
             last = out[-1]
             out[-1] = [last[0], last[1], last[2] and node[2], True, None, max(last[5], node[5]), last[6] + node[6]]
         else:
@@ -96,23 +100,23 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
         for n in nodes:
             add([*n[:2], True, *n[3:]])
 
-    for p, q in _common([n[0] for n in a], [n[0] for n in b]):
+    for p, q in _common([_key(n) for n in a], [_key(n) for n in b]):
         only(a[i:p])
         only(b[j:q])
         m, n = a[p], b[q]
-        add([m[0], m[1] and n[1], m[2] or n[2], m[3] or n[3], m[4] if m[4] == n[4] else None, m[5] + n[5], m[6] + n[6]])
+        add([*_key(m), m[2] or n[2], m[3] or n[3], m[4] if m[4] == n[4] else None, m[5] + n[5], m[6] + n[6]])
         i, j = p + 1, q + 1
     only(a[i:])
     only(b[j:])
     if len(out) > NODES:
-        # A wrapper this long has lost its order; one node for each path is left.
-        by_path: dict[str, Node] = {}
+        # A wrapper this long has lost its order; one node for each path and fate is left.
+        by_path: dict[tuple[str, bool], Node] = {}
         for n in out:
-            if n[0] in by_path:
-                o = by_path[n[0]]
-                by_path[n[0]] = [o[0], o[1] and n[1], True, True, None, o[5] + n[5], o[6] + n[6]]
+            if _key(n) in by_path:
+                o = by_path[_key(n)]
+                by_path[_key(n)] = [*_key(o), True, True, None, o[5] + n[5], o[6] + n[6]]
             else:
-                by_path[n[0]] = n
+                by_path[_key(n)] = n
         out = list(by_path.values())
     return out
 
@@ -193,21 +197,21 @@ class Wrapper:
     """Reads pages of a host."""
 
     def __init__(self, nodes: list[Node]):
-        self.paths = [n[0] for n in nodes]
+        self.keys = [_key(n) for n in nodes]
         self.keep = keeps(nodes)
         self.repeated = [n[3] for n in nodes]
 
     def text(self, page: list[tuple[str, bool, str]]) -> str:
         own = tokens(page)
         fate = [False] * len(own)
-        matched = dict((q, p) for p, q in _common(self.paths, [n[0] for n in own]))
+        matched = dict((q, p) for p, q in _common(self.keys, [_key(n) for n in own]))
         for q, n in enumerate(own):
             p = matched.get(q)
-            fate[q] = self.keep[p] if p is not None else not n[1] and n[0] in self.paths and self.keep[self.paths.index(n[0])]
+            fate[q] = self.keep[p] if p is not None else _key(n) in self.keys and self.keep[self.keys.index(_key(n))]
         out, q, last = [], -1, None
         for path, drop, text in page:
-            if path != last:
-                q, last = q + 1, path
+            if (path, drop) != last:
+                q, last = q + 1, (path, drop)
             if fate[q] and not drop:
                 out.append(text)
         return "\n".join(out)

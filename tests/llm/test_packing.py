@@ -158,3 +158,13 @@ def test_comments_may_be_articles():
 def test_any_markup_is_read(raw):
     for path, drop, text in blocks(raw):
         assert text == " ".join(text.split()) and text
+
+
+@pytest.mark.parametrize("unwanted", ['<div id="ad-1">Buy</div>', '<div role="search">Buy</div>', '<div style="display:none">Buy</div>'])
+def test_wanted_blocks_after_dropped_ones_of_the_same_path(unwanted):
+    pages = [blocks(f"<article><h1>T{k}</h1>{unwanted}<div>Real text {k}</div></article>") for k in range(5)]
+    wrapper = wrappers.tokens(pages[0])
+    for p in pages[1:]:
+        wrapper = wrappers.align(wrapper, wrappers.tokens(p))
+    assert [wrappers.Wrapper(wrapper).text(p) for p in pages] == [f"T{k}\nReal text {k}" for k in range(5)]
+    assert wrappers.Wrapper(wrappers.tokens(pages[0])).text(pages[0]) == "T0\nReal text 0"
