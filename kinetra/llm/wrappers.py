@@ -8,12 +8,13 @@ same way, so every scan task infers its own, and those of a host are merged in a
 a third of all pages never meets in one task before it is a few wrappers. A wrapper keeps at most one node a path and
 place, and no page texts.
 
-Nodes on a path that cannot hold the article are dropped; template text outside an <article> or <main> is dropped; the
-rest of the text is kept where the article is: inside <article> or <main> if the host has them, else inside an element
-named like an article, or any other, that holds most of the varying text. A page is aligned with its host's wrapper, and its blocks share their node's fate.
+Nodes on a path that cannot hold the article are dropped. A page with an <article> or <main> keeps what is inside; such
+pages need no wrapper and take no part in one. The other pages of a host are aligned with its wrapper: template text (equal
+on LEAST_PAGES different pages) is dropped, and the rest is kept inside the element named like an article, or any other,
+that holds most of the host's varying text, or of the page's own, where a page has less than SHARE of its text in the former.
 
 Defined results: a null or empty page has an empty text; markup that is broken is read as far as it goes; a host with few
-pages (or a url without host) has no template text and is read by paths alone; repeated rows are read row by row.
+pages (or a url without host) has no template text and is read by itself; repeated rows are read row by row.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ BROADCAST_BYTES = 32 << 20
 #: Shares of a host's varying text that the main element holds: one named like an article, and any other.
 SHARE, WHOLE = 0.6, 0.9
 
-#: A node: path, dropped, optional, repeated, text hash (None: a slot), pages, characters.
+#: A node: path, dropped, optional, repeated, text hash (None: a slot), hashes of different pages (the least LEAST_PAGES), characters.
 Node = list
 
 
@@ -49,15 +50,20 @@ def _key(node: Node) -> tuple[str, bool]:
 def tokens(page: list[tuple[str, bool, str]]) -> list[Node]:
     """A page as a wrapper of its own."""
     out: list[Node] = []
+    own = crc32("\n".join(text for _, drop, text in page if not drop).encode())
     for path, drop, text in page:
         if out and _key(out[-1]) == (path, drop):
             out[-1][3], out[-1][4] = True, None
             out[-1][6] += len(text)
         else:
-            out.append([path, drop, False, False, crc32(text.encode()), 1, len(text)])
+            out.append([path, drop, False, False, crc32(text.encode()), [own], len(text)])
     return out
 
 
+def _pages(a: list[int], b: list[int]) -> list[int]:
+    return a if a == b else sorted({*a, *b})[:LEAST_PAGES]
+
+
 def _common(a: list[tuple[str, bool]], b: list[tuple[str, bool]]) -> list[tuple[int, int]]:
     """Places of a longest common subsequence; equal ends are matched first."""
     head = 0
@@ -92,7 +98,7 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     def add(node: Node) -> None:
         if out and _key(out[-1]) == _key(node):
             last = out[-1]
-            out[-1] = [last[0], last[1], last[2] and node[2], True, None, max(last[5], node[5]), last[6] + node[6]]
+            out[-1] = [last[0], last[1], last[2] and node[2], True, None, _pages(last[5], node[5]), last[6] + node[6]]
         else:
             out.append(node)
 
@@ -104,7 +110,7 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
         only(a[i:p])
         only(b[j:q])
         m, n = a[p], b[q]
-        add([*_key(m), m[2] or n[2], m[3] or n[3], m[4] if m[4] == n[4] else None, m[5] + n[5], m[6] + n[6]])
+        add([*_key(m), m[2] or n[2], m[3] or n[3], m[4] if m[4] == n[4] else None, _pages(m[5], n[5]), m[6] + n[6]])
         i, j = p + 1, q + 1
     only(a[i:])
     only(b[j:])
@@ -114,7 +120,7 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
         for n in out:
             if _key(n) in by_path:
                 o = by_path[_key(n)]
-                by_path[_key(n)] = [*_key(o), True, True, None, o[5] + n[5], o[6] + n[6]]
+                by_path[_key(n)] = [*_key(o), True, True, None, _pages(o[5], n[5]), o[6] + n[6]]
             else:
                 by_path[_key(n)] = n
         out = list(by_path.values())
@@ -137,7 +143,9 @@ def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, list[Node]] = {}
     for batch in batches:
         for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            _add(found, name, tokens(blocks(page or "")))
+            read = blocks(page or "")
+            if name and not _has_article(read):
+                _add(found, name, tokens(read))
         if len(found) > HOSTS:
             yield _batch(found)
             found = {}
@@ -174,23 +182,30 @@ def _in_article(path: str) -> bool:
     return any(e.partition(".")[0].partition("#")[0] in ("article", "main") for e in path.split("/"))
 
 
-def keeps(wrapper: list[Node]) -> list[bool]:
-    """Which nodes hold text of the article."""
-    pages = max((n[5] for n in wrapper), default=0)
-    template = [pages >= LEAST_PAGES and n[4] is not None and not n[3] and n[5] >= LEAST_PAGES for n in wrapper]
-    if any(_in_article(n[0]) and not n[1] for n in wrapper):
-        return [_in_article(n[0]) and not n[1] for n in wrapper]
-    left = [k for k, n in enumerate(wrapper) if not n[1] and not template[k]]
+def _has_article(page: list[tuple[str, bool, str]]) -> bool:
+    return any(not drop and _in_article(path) for path, drop, _ in page)
+
+
+def _main(texts: list[tuple[str, int]]) -> str:
+    """The element that holds most of the characters of texts (path, characters)."""
     weight: Counter[str] = Counter()
-    for k in left:
-        elements = wrapper[k][0].split("/")
+    for path, chars in texts:
+        elements = path.split("/")
         for depth in range(len(elements)):
-            weight["/".join(elements[:depth])] += wrapper[k][6]
+            weight["/".join(elements[:depth])] += chars
     total = weight.get("", 0)
     named = [p for p, chars in weight.items() if chars >= SHARE * total and like_article(p.rpartition("/")[2])]
     whole = [p for p, chars in weight.items() if chars >= WHOLE * total]
-    main = max(named or whole or [""], key=lambda p: p.count("/") + bool(p))
-    return [k in set(left) and (wrapper[k][0] + "/").startswith(main + "/" if main else "") for k in range(len(wrapper))]
+    return max(named or whole or [""], key=lambda p: p.count("/") + bool(p))
+
+
+def _within(path: str, main: str) -> bool:
+    return not main or (path + "/").startswith(main + "/")
+
+
+def varying(wrapper: list[Node]) -> list[bool]:
+    """Which nodes are neither dropped nor template text."""
+    return [not n[1] and (n[4] is None or n[3] or len(n[5]) < LEAST_PAGES) for n in wrapper]
 
 
 class Wrapper:
@@ -198,23 +213,29 @@ class Wrapper:
 
     def __init__(self, nodes: list[Node]):
         self.keys = [_key(n) for n in nodes]
-        self.keep = keeps(nodes)
-        self.repeated = [n[3] for n in nodes]
+        self.keep = varying(nodes)
+        self.main = _main([(n[0], n[6]) for n, k in zip(nodes, self.keep, strict=True) if k])
 
     def text(self, page: list[tuple[str, bool, str]]) -> str:
+        if _has_article(page):
+            return "\n".join(text for path, drop, text in page if not drop and _in_article(path))
         own = tokens(page)
         fate = [False] * len(own)
         matched = dict((q, p) for p, q in _common(self.keys, [_key(n) for n in own]))
         for q, n in enumerate(own):
             p = matched.get(q)
             fate[q] = self.keep[p] if p is not None else _key(n) in self.keys and self.keep[self.keys.index(_key(n))]
-        out, q, last = [], -1, None
+        left, q, last = [], -1, None
         for path, drop, text in page:
             if (path, drop) != last:
                 q, last = q + 1, (path, drop)
             if fate[q] and not drop:
-                out.append(text)
-        return "\n".join(out)
+                left.append((path, text))
+        inside = sum(len(text) for path, text in left if _within(path, self.main))
+        main = self.main
+        if inside < SHARE * sum(len(text) for _, text in left):
+            main = _main([(path, len(text)) for path, text in left])
+        return "\n".join(text for path, text in left if _within(path, main))
 
 
 def _read(wrappers: dict[str, str] | None):
@@ -226,10 +247,13 @@ def _read(wrappers: dict[str, str] | None):
             texts = []
             for name, page, raw in zip(names, pages, given, strict=True):
                 found = blocks(page or "")
+                if not raw:
+                    texts.append(Wrapper(tokens(found)).text(found))
+                    continue
                 if name not in ready:
                     if len(ready) > HOSTS:
                         ready.clear()
-                    ready[name] = Wrapper(json.loads(raw) if raw else tokens(found))
+                    ready[name] = Wrapper(json.loads(raw))
                 texts.append(ready[name].text(found))
             kept = [c for c in batch.schema.names if c not in ("host", "html", "wrapper")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])

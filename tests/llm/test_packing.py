@@ -168,3 +168,17 @@ def test_wanted_blocks_after_dropped_ones_of_the_same_path(unwanted):
         wrapper = wrappers.align(wrapper, wrappers.tokens(p))
     assert [wrappers.Wrapper(wrapper).text(p) for p in pages] == [f"T{k}\nReal text {k}" for k in range(5)]
     assert wrappers.Wrapper(wrappers.tokens(pages[0])).text(pages[0]) == "T0\nReal text 0"
+
+
+def test_layouts_of_a_host_and_pages_without_host(spark):
+    words = " ".join(f"word{k}" for k in range(30))
+    rows = [(0, "http://a.example.com/0", f"<article><p>in article {words}</p></article><p>out</p>")]
+    rows += [(k, f"http://a.example.com/{k}", f"<div class=content><h1>Head {k}</h1><p>Own {k} {words}</p></div><p>menu</p>") for k in range(1, 9)]
+    rows += [(k, f"http://a.example.com/{k}", f"<section><p>Other {k} {words}</p></section>") for k in range(9, 11)]
+    rows += [(k, [None, "nowhere"][k % 2], f"<{tag}><p>Lone {k} {words}</p></{tag}>") for k, tag in enumerate(["article", "div", "section", "main"], 20)]
+    rows += [(k, "http://copies.example.com/", f"<h1>Same head</h1><p>Same {words}</p>") for k in range(30, 36)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    expected = {0: f"in article {words}"} | {k: f"Head {k}\nOwn {k} {words}" for k in range(1, 9)} | {k: f"Other {k} {words}" for k in range(9, 11)}
+    expected |= {k: f"Lone {k} {words}" for k in range(20, 24)} | {k: f"Same head\nSame {words}" for k in range(30, 36)}
+    assert got == expected
