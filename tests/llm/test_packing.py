@@ -182,3 +182,21 @@ def test_layouts_of_a_host_and_pages_without_host(spark):
     expected = {0: f"in article {words}"} | {k: f"Head {k}\nOwn {k} {words}" for k in range(1, 9)} | {k: f"Other {k} {words}" for k in range(9, 11)}
     expected |= {k: f"Lone {k} {words}" for k in range(20, 24)} | {k: f"Same head\nSame {words}" for k in range(30, 36)}
     assert got == expected
+
+
+@pytest.mark.parametrize(
+    "attributes, dropped",
+    [
+        ('title="the hidden treasure"', False),
+        ('data-id="promo-7"', False),
+        ("data-text='a class=\"ad\" b' alt=\"it's hidden\"", False),
+        ("title = x data-hidden=1 my-role=search", False),
+        ('title="a" hidden', True),
+        ("ID = 'promo-7' title=x", True),
+        ("data-x=1 role=search", True),
+        ('aria-hidden="false" STYLE="color:red; display: none"', True),
+        ("class=ad/", True),
+    ],
+)
+def test_attributes_are_read_whole(attributes, dropped):
+    assert blocks(f"<p {attributes}>text</p>")[0][1:] == (dropped, "text")
