@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from kinetra.llm.fmindex import FMIndex
 from kinetra.llm.words import Words, chunks, utf8
+from kinetra.llm.workers import lean
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -117,6 +118,7 @@ def _lists(values: np.ndarray, row: np.ndarray, n: int, kind: pa.DataType) -> pa
 
 
 def _passes(phrases: Phrases, first_pass: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -203,6 +205,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()

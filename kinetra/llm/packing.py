@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.llm import tokens
+from kinetra.llm.workers import lean
 from kinetra.session import durable
 
 CAPACITY = 4096
@@ -88,6 +89,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
@@ -140,6 +142,7 @@ class Places:
 
 
 def _placed(places: Places):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, number = batch.column("length").to_numpy(), batch.column("_number").to_numpy()

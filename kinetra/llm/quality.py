@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from kinetra.llm import labelled
 from kinetra.llm.words import Words, chunks, utf8
+from kinetra.llm.workers import lean
 
 FOLDS = 3
 TREES = 60
@@ -186,6 +187,7 @@ class Ensemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
+@lean
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))

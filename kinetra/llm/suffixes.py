@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from kinetra.llm.words import U64, mix, powers, utf8
 from kinetra.llm.words import chunks as row_chunks
+from kinetra.llm.workers import lean
 from kinetra.session import durable
 
 SPAN = 100
@@ -41,7 +42,7 @@ HOT = 4096
 CHUNK_BYTES = 512 << 10
 PART_BYTES = 1 << 20
 BUFFER_PIECES = 400_000
-SORT_BYTES = 2 << 20
+SORT_BYTES = 768 << 10
 
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
@@ -157,6 +158,7 @@ def _batch(columns: list[np.ndarray], extra: dict[str, pa.Array] | None = None)
 
 
 def _scan(span: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
@@ -181,6 +183,7 @@ def _scan(span: int):
 def _fetch(span: int, hot: int):
     """Bytes of undecided pieces; the starts of hot anchors one by one, keyed by their own bytes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -302,6 +305,7 @@ def _decide(span: int):
         first, total = _runs(np.lexsort((s, t, d)), d, t, s, n)
         return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(t[first]), pa.array(s[first].astype(np.int32)), pa.array(total.astype(np.int32))], names=["doc_id", "tag", "lo", "n"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -348,6 +352,7 @@ def removals(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
 
 
 def _cut(span: int, digest: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, runs = batch.column("text"), batch.column("runs")

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetra.llm import tokens
+from kinetra.llm.workers import lean
 
 MAGIC = b"KTS1"
 END_ID = 2
@@ -106,6 +107,7 @@ def payload(doc_ids: list[int], counts: list[int], frames: list[bytes], dictiona
 
 
 def _compressed(path: str, end_id: int, dictionary: bytes, bounds: np.ndarray):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = tokens.encoder(path), compressor(dictionary)
         end = np.array([end_id], enc.dtype).tobytes()
@@ -121,6 +123,7 @@ def _compressed(path: str, end_id: int, dictionary: bytes, bounds: np.ndarray):
 
 
 def _shards(dictionary_hash: bytes, width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, ids, counts, frames, size = None, 0, [], [], [], 0
 
@@ -168,6 +171,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
 
 
 def _read(dictionary: bytes, with_ids: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for before, raw in zip(batch.column("before").to_pylist(), batch.column("payload"), strict=True):

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetra.llm.workers import lean
+
 SCALE = 256
 PIVOTS = 24
 BLOCK = 8192
@@ -95,6 +97,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _search(qid: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):

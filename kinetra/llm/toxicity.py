@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from kinetra.llm import labelled
 from kinetra.llm.words import Words, chunks, utf8, words_of
+from kinetra.llm.workers import lean
 
 #: Common English insults.
 SEEDS = ["clown", "disgusting", "dumb", "freak", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
@@ -51,6 +52,7 @@ def _features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield row[long], h
 
 
+@lean
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class with each feature; the whole partition's share of the bounded sample."""
     seen: list[np.ndarray] = []
@@ -152,6 +154,7 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int
 
 
 def _voted(voters: Voters):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -197,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = labelled.SAMPLE, folds
 
 
 def _scored(model: Model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))

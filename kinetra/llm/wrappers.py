@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.llm.htmlblocks import blocks, like_article
+from kinetra.llm.workers import lean
 from kinetra.session import durable
 
 LEAST_PAGES = 4
@@ -139,6 +140,7 @@ def _batch(found: dict[str, list[Node]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=["host", "wrapper"])
 
 
+@lean
 def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, list[Node]] = {}
     for batch in batches:
@@ -153,6 +155,7 @@ def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(found)
 
 
+@lean
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges wrappers of neighbouring rows of one host."""
     key, wrapper = None, None
@@ -239,6 +242,7 @@ class Wrapper:
 
 
 def _read(wrappers: dict[str, str] | None):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: dict[str, Wrapper] = {}
         for batch in batches:
@@ -278,6 +282,7 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url")) -> Da
 
 
 def _shared(wrappers):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _read(wrappers.value)(batches)
 

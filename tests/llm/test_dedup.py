@@ -118,8 +118,8 @@ def test_near_duplicates(spark, docs, rows, nothing):
     ids = sorted(texts)
     table = {}
     for d in ids:
-        _, h, level = neardup.shingles(*utf8(__import__("pyarrow").array([texts[d]])), rare)
-        table[d] = (h, 2.0 ** (level / 8))
+        _, h, weight = neardup.shingles(*utf8(__import__("pyarrow").array([texts[d]])), rare)
+        table[d] = (h, weight)
     parent = {d: d for d in ids}
 
     def find(x):
@@ -153,7 +153,7 @@ def test_many_near_copies_stay_linear_and_whole(spark):
 def test_near_pairs_inside_a_template_family(spark, monkeypatch, block):
     """Texts (a, b) of one template are too far from each other, but for (a, 2k) and (a, 2k + 1), which share a change."""
     monkeypatch.setattr(neardup, "BLOCK_BYTES", block)
-    base, rows = prose(9, 520).split(), []
+    base, rows = prose(9, 800).split(), []
     for a in range(17):
         for b in range(17):
             copy = list(base)
@@ -163,9 +163,42 @@ def test_near_pairs_inside_a_template_family(spark, monkeypatch, block):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     rare, table = neardup.rarity(df), []
     for _, text in rows:
-        _, h, level = neardup.shingles(*utf8(__import__("pyarrow").array([text])), rare)
-        table.append((h, 2.0 ** (level / 8)))
+        _, h, weight = neardup.shingles(*utf8(__import__("pyarrow").array([text])), rare)
+        table.append((h, weight))
     near = {(i, j) for i in range(len(rows)) for j in range(i) if neardup.similarity(*table[i], *table[j]) >= neardup.SIMILARITY}
     assert near == {(17 * a + b + 1, 17 * a + b) for a in range(17) for b in range(0, 16, 2)}
     got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
     assert got == {d: d - (d % 17) % 2 if d % 17 < 16 else d for d, _ in rows}
+
+
+def test_no_link_is_lost_in_large_mixed_buckets(spark):
+    """400 texts of one template, half of it shared by all: buckets hold hundreds of texts and many components."""
+    rng, common = np.random.default_rng(4), prose(3, 300)
+    rows = []
+    for k in range(200):
+        own = prose(5000 + k, 150).split()
+        near = list(own)
+        for i in rng.choice(150, rng.integers(1, 14), replace=False):
+            near[i] = f"other{k}x{i}"
+        rows += [(2 * k, common + " " + " ".join(own)), (2 * k + 1, common + " " + " ".join(near))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rare, table = neardup.rarity(df), []
+    for _, text in rows:
+        _, h, weight = neardup.shingles(*utf8(__import__("pyarrow").array([text])), rare)
+        table.append((h, weight))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if neardup.similarity(*table[i], *table[j]) >= neardup.SIMILARITY:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 30 < sum(root[k] != k for k in range(len(rows))) < 190
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    assert [got[k] for k in range(len(rows))] == root
+
+
+def test_texts_of_one_document_are_one_class(spark):
+    texts = {k: prose(300 + k, 80) for k in range(5)}
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[2]), (3, texts[1]), (9, texts[2] + " tail"), (5, texts[3]), (6, texts[4])]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 3, 7: 3, 9: 3, 5: 5, 6: 6}
