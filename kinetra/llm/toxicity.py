@@ -4,16 +4,19 @@ Voters, each of which votes for `toxic` or abstains on a document:
 
 * lexicon voters: SEEDS, a short list of insults, and words and word beginnings of PREFIXES bytes that a bounded
   sample of labelled training rows shows almost only in toxic documents (at most MINED of them);
-* pattern voters: mostly capitals, runs of exclamation marks, many symbols;
-* the label itself, on the sampled training rows, as a voter that may err.
+* pattern voters: mostly capitals, runs of exclamation marks, many symbols.
 
-A generative label model (two classes; how often each voter votes in either, by expectation maximisation) weighs them.
-Voters that go together within a class are correlated: they form clusters, and the votes of a cluster share its
-weight. The model's posterior labels train a linear (logistic) classifier on votes, hits and hit density, which scores
-every whole text; it never sees labels, lang, source or doc_id.
+A generative label model (two classes; how often each voter votes in either, by expectation maximisation) is fitted on
+bounded samples of labelled and of unlabelled documents (SAMPLE and UNLABELLED of them). Within the classes, correlations
+of voters are estimated in each round: a voter's weight is divided by one plus its correlations above CORRELATED. Labels
+anchor the rates and calibrate the odds (two numbers, by logistic regression); the posterior of a document is a function
+of its votes alone, so it may well differ from its label. The posteriors, those of unlabelled documents among them, train
+a linear (logistic) classifier on votes, hits and hit density, which scores every whole text; it never sees labels, lang,
+source or doc_id. Held-out documents take no part in fitting, with or without label.
 
 Defined results: a null or empty text has no votes and the score of such a document; without labelled rows (or of one
-class only) only seeds vote, with a fixed accuracy; repeated rows are scored row by row.
+class only) the label model starts from the votes of seeds alone; without any row a fixed model of the seeds scores;
+repeated rows are scored row by row, a document without doc_id is never held out.
 """
 
 from __future__ import annotations
@@ -40,7 +43,11 @@ LEAST = 3
 ODDS = 3.0
 PATTERNS = 3
 CHUNK_BYTES = 2 << 20
+#: How far a label is trusted as the class of its document.
 ANNOTATOR = 0.98
+#: At most so many unlabelled documents fit the label model: those with the least hash of doc_id.
+UNLABELLED = 12000
+CORRELATED = 0.5
 
 
 def _features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -108,34 +115,36 @@ class Voters:
         return votes, np.column_stack([votes, lexicon > 0, np.log1p(lexicon), np.log1p(hits), np.minimum(dense * 20, 1)]).astype(np.float64)
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, dict]:
-    """Posterior of `toxic` for each row, and the model: prior, rates of votes in either class, clusters.
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12, first: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+    """Posterior of `toxic` for each row by its votes, and the model: rates of votes in either class, shares, calibration.
 
-    gold: 1, 0 or -1 (no label). Correlations within the classes cluster the voters; a cluster's votes share its weight.
+    gold: 1, 0 or -1 (no label); first: where there is no gold, the beliefs to start from. Votes and absent votes count;
+    a voter's share of its weight falls with its correlations within the classes.
     """
-    n, k = votes.shape
-    v = votes.astype(np.float64)
-    known = gold >= 0
-    post = np.where(known, np.where(gold == 1, ANNOTATOR, 1 - ANNOTATOR), 0.1)
-    cluster = np.arange(k)
-    model: dict = {}
-    for round_ in range(rounds):
-        prior = np.clip((gold[known] == 1).mean() if known.any() else post.mean(), 1e-4, 1 - 1e-4)
-        yes = np.clip((post @ v + 0.1) / (post.sum() + 1), 1e-5, 1 - 1e-5)
-        no = np.clip(((1 - post) @ v + 0.1) / ((1 - post).sum() + 1), 1e-5, 1 - 1e-5)
-        if round_ == 2:
-            left = (v - np.where(post[:, None] > 0.5, yes, no))[:, :]
-            scale = np.sqrt((left**2).sum(0)) + 1e-9
-            together = (left.T @ left) / np.outer(scale, scale) > 0.5
-            for j in range(k):
-                cluster[np.flatnonzero(together[j])] = cluster[np.flatnonzero(together[j])].min()
-        share = 1 / np.bincount(cluster, minlength=k)[cluster]
-        # An absent word says little: only votes count, and the prior (of labelled rows, if any) stands for the rest.
-        odds = np.log(prior / (1 - prior)) + v @ (share * np.log(yes / no))
-        odds += np.where(known, np.where(gold == 1, 1, -1) * np.log(ANNOTATOR / (1 - ANNOTATOR)), 0)
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        model = {"prior": prior, "yes": yes, "no": no, "cluster": cluster.copy()}
-    return post, model
+    v, known = votes.astype(np.float64), gold >= 0
+    trusted = np.where(gold == 1, ANNOTATOR, 1 - ANNOTATOR)
+    belief = np.where(known, trusted, 0.0) if known.any() else np.asarray(first, np.float64)
+    weight = known.astype(np.float64) if known.any() else np.ones(len(v))
+    slope, base = 1.0, 0.0
+    for _ in range(rounds):
+        b, c = belief * weight, (1 - belief) * weight
+        yes = np.clip((b @ v + 0.1) / (b.sum() + 1), 1e-5, 1 - 1e-5)
+        no = np.clip((c @ v + 0.1) / (c.sum() + 1), 1e-5, 1 - 1e-5)
+        left = (v - np.outer(belief, yes) - np.outer(1 - belief, no)) * np.sqrt(weight)[:, None]
+        scale = np.sqrt((left**2).sum(0)) + 1e-9
+        together = (left.T @ left) / np.outer(scale, scale)
+        np.fill_diagonal(together, 0)
+        share = 1 / (1 + np.where(together > CORRELATED, together, 0).sum(1))
+        absent = share * np.log((1 - yes) / (1 - no))
+        odds = v @ (share * np.log(yes / no) - absent) + absent.sum()
+        if known.any():
+            w, base = logistic(odds[known][:, None], (gold[known] == 1).astype(np.float64), ridge=1e-3)
+            slope = float(w[0])
+        else:
+            base = float(np.log(np.clip(b.sum() / len(v), 1e-4, 0.5)) - np.log1p(-np.clip(b.sum() / len(v), 1e-4, 0.5)))
+        posterior = 1 / (1 + np.exp(-np.clip(slope * odds + base, -30, 30)))
+        belief, weight = np.where(known, trusted, posterior), np.ones(len(v))
+    return posterior, {"yes": yes, "no": no, "share": share, "slope": slope, "base": base}
 
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -178,24 +187,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.intercept, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = labelled.SAMPLE, folds: int = FOLDS) -> Model:
-    rows = labelled.training(docs, labels, "toxic", labelled.fold(folds) == 0, sample)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = labelled.SAMPLE, folds: int = FOLDS, unlabelled: int = UNLABELLED) -> Model:
+    held_out = labelled.fold(folds) == 0
+    rows = labelled.training(docs, labels, "toxic", held_out, sample)
     counts = rows.mapInArrow(_counted, "feature bigint, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.25) / (F.col("clean") + 0.25))
     totals = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     base = np.log(max(totals.get(1, 0), 1) / max(totals.get(0, 0), 1))
     least = max(LEAST, totals.get(1, 0) // 100)
     top = counts.filter((F.col("toxic") >= least) & (odds - F.lit(float(base)) >= ODDS)).orderBy(F.desc("toxic"), "clean", "feature").limit(MINED)
-    voters = Voters.of([r.feature for r in top.collect()])
-    got = rows.mapInArrow(_voted(voters), "doc_id bigint, y int, votes binary, more binary").orderBy("doc_id").collect()
-    if len({r.y for r in got}) < 2:
+    voters = Voters.of([r.feature for r in top.collect()] if len(totals) == 2 else [])
+    voted = rows.unionByName(labelled.unlabelled(docs, labels, "toxic", held_out, unlabelled))
+    got = voted.mapInArrow(_voted(voters), "doc_id bigint, y int, votes binary, more binary").collect()
+    if not got:
         weights = np.zeros(voters.count + 4)
         weights[: len(SEEDS)] = 4.0
         return Model(voters, weights, -2.0, {})
+    got.sort(key=lambda r: (r.doc_id, r.y))
     votes = np.stack([np.unpackbits(np.frombuffer(bytes(r.votes), np.uint8), count=voters.count) for r in got]).astype(bool)
     x = np.column_stack([votes, np.stack([np.frombuffer(bytes(r.more)) for r in got])])
-    post, model = label_model(votes, np.array([r.y for r in got]))
-    weights, intercept = logistic(x, post)
+    gold = np.array([r.y for r in got])
+    if len(totals) < 2:
+        gold[:] = -1
+    seeds = np.where(votes[:, : len(SEEDS)].any(1), 0.9, 0.02)
+    posterior, model = label_model(votes, gold, first=seeds)
+    weights, intercept = logistic(x, posterior)
     return Model(voters, weights, intercept, model)
 
 
