@@ -20,22 +20,54 @@ def ids(text):
     return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
 
 
-@given(st.lists(st.integers(1, 40), min_size=1, max_size=80))
-@settings(max_examples=60, deadline=None)
-def test_best_fit_decreasing(sizes):
-    sizes = sorted(sizes, reverse=True)
-    bins = sharding.best_fit_decreasing(sizes, 40)
-    rooms, expected = [], []
+def one_by_one(sizes, capacity):
+    rooms, out = [], []
     for s in sizes:
         fits = [(r, i) for i, r in enumerate(rooms) if r >= s]
-        room, i = min(fits) if fits else (40, len(rooms))
+        room, i = min(fits) if fits else (capacity, len(rooms))
         if not fits:
-            rooms.append(40)
+            rooms.append(capacity)
         rooms[i] = room - s
-        expected.append(i)
-    assert bins == expected
-    shards = sharding.balanced(sizes, 4)
-    assert max(shards) < 4
+        out.append(i)
+    return out
+
+
+def counted(sizes):
+    sizes, counts = np.unique(sizes, return_counts=True)
+    return sizes[::-1].tolist(), counts[::-1].tolist()
+
+
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=80))
+@settings(max_examples=60, deadline=None)
+def test_best_fit_decreasing(items):
+    sizes, counts = counted(items)
+    runs = sharding.best_fit_decreasing(sizes, counts, 40)
+    assert [b for own in runs for b, n in own for _ in range(n)] == one_by_one(sorted(items, reverse=True), 40)
+    shards = sharding.balanced(sizes, counts, 4)
+    assert [sum(n for _, n in own) for own in shards] == counts and max(b for own in shards for b, _ in own) < 4
+
+
+def test_balanced_packs_as_single_groups_would():
+    """50,000 groups: the runs of sizes are those of best-fit-decreasing over single groups, and shards are near equal."""
+    rng = np.random.default_rng(8)
+    items = np.minimum(rng.lognormal(5, 1.2, 50_000).astype(int) + 16, 20_000).tolist()
+    sizes, counts = counted(items)
+    runs = sharding.balanced(sizes, counts, 40)
+    held = [0] * 40
+    for s, own in zip(sizes, runs, strict=True):
+        for b, n in own:
+            held[b] += s * n
+    assert sum(held) == sum(items) and max(held) - sum(items) / 40 < 20
+    assert [b for own in runs for b, n in own for _ in range(n)] == one_by_one(sorted(items, reverse=True), max(held))
+
+
+def test_shards_of_many_groups_are_near_equal(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, ("x" * int(n)) + str(k % 4000)) for k, n in enumerate(rng.integers(0, 400, 6000))]
+    held = defaultdict(int)
+    for r in sharding.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        held[r.shard] += r.size
+    assert len(held) == 40 and max(held.values()) - min(held.values()) < 0.002 * max(held.values())
 
 
 def test_shards(docs, rows, nothing):
