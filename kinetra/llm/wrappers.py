@@ -1,26 +1,33 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from pages of one host.
 
-A page is a stream of blocks; neighbouring blocks of one path and one fate (dropped or not) are one token. A host's wrapper is a sequence of nodes, each
-a path with a text part, and each possibly optional or repeated. It starts as the first page and is aligned with page
-after page: tokens that only one side has become optional nodes, several blocks in a token make it a repeated group, and
-texts that differ become slots (a node whose text never differed is template text). Wrappers align with wrappers the
-same way, so every scan task infers its own, and those of a host are merged in a tree of salted groups: a host that holds
-a third of all pages never meets in one task before it is a few wrappers. A wrapper keeps at most one node a path and
-place, and no page texts.
-
-Nodes on a path that cannot hold the article are dropped. A page with an <article> or <main> keeps what is inside; such
-pages need no wrapper and take no part in one. The other pages of a host are aligned with its wrapper: template text (equal
-on LEAST_PAGES different pages) is dropped, and the rest is kept inside the element named like an article, or any other,
-that holds most of the host's varying text, or of the page's own, where a page has less than SHARE of its text in the former.
+A page is a stream of blocks. Neighbouring blocks of one path and one fate (dropped or not) are one token, and tokens that
+follow each other in the same order again (a group of up to PERIOD of them) fold into one repeated group. A host's wrapper
+is a sequence of nodes, each a path with a text part, and each possibly optional or repeated: streams are aligned, tokens
+that only one side has become optional nodes, folded ones are repeated, and these and texts that differ become slots (a node
+whose text never differed is template text). Alignment pairs equal occurrences of a path and keeps a longest rising chain of
+pairs, in n log n steps for any length.
+
+Streams of one structure combine first, in any order and already in the scan; the structures of a host are dealt by their
+hash into SALTS groups and aligned in order of their hash, and then the groups' wrappers in order. So a wrapper does not
+depend on how pages lie in partitions, and a host that holds a third of all pages never meets in one task before it is a
+few wrappers. Wrappers keep no page texts.
+
+Each page is read by its host's wrapper, whatever its markup: nodes on a path that cannot hold the article are dropped, and
+so is template text (equal on LEAST_PAGES different pages). Of the rest, what lies inside an <article> or <main> stays; on
+a page without one, what lies inside the element named like an article, or any other, that holds most of the host's varying
+text, or of the page's own, where a page has less than SHARE of its text in the former.
 
 Defined results: a null or empty page has an empty text; markup that is broken is read as far as it goes; a host with few
-pages (or a url without host) has no template text and is read by itself; repeated rows are read row by row.
+pages (or a url without host) has no template text and is read by itself; repeated rows are read row by row and count as
+one page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -33,8 +40,8 @@ from kinetra.llm.workers import lean
 from kinetra.session import durable
 
 LEAST_PAGES = 4
-NODES = 200
-HOSTS = 2000
+PERIOD = 8
+HELD = 2000
 SALTS = 32
 BROADCAST_BYTES = 32 << 20
 #: Shares of a host's varying text that the main element holds: one named like an article, and any other.
@@ -48,47 +55,71 @@ def _key(node: Node) -> tuple[str, bool]:
     return node[0], node[1]
 
 
-def tokens(page: list[tuple[str, bool, str]]) -> list[Node]:
-    """A page as a wrapper of its own."""
-    out: list[Node] = []
+def _pages(a: list[int], b: list[int]) -> list[int]:
+    return a if a == b else sorted({*a, *b})[:LEAST_PAGES]
+
+
+def _repeat(a: Node, b: Node) -> Node:
+    """A node for two that follow each other."""
+    return [a[0], a[1], a[2] and b[2], True, None, _pages(a[5], b[5]), a[6] + b[6]]
+
+
+def _same(a: Node, b: Node) -> Node:
+    """A node for two that stand at one place."""
+    return [a[0], a[1], a[2] or b[2], a[3] or b[3], a[4] if a[4] == b[4] else None, _pages(a[5], b[5]), a[6] + b[6]]
+
+
+def stream(page: list[tuple[str, bool, str]]) -> tuple[list[Node], list[list[int]]]:
+    """A page as a wrapper of its own, and the blocks of each node."""
+    nodes: list[Node] = []
+    members: list[list[int]] = []
     own = crc32("\n".join(text for _, drop, text in page if not drop).encode())
-    for path, drop, text in page:
-        if out and _key(out[-1]) == (path, drop):
-            out[-1][3], out[-1][4] = True, None
-            out[-1][6] += len(text)
-        else:
-            out.append([path, drop, False, False, crc32(text.encode()), [own], len(text)])
-    return out
+    for at, (path, drop, text) in enumerate(page):
+        nodes.append([path, drop, False, False, crc32(text.encode()), [own], len(text)])
+        members.append([at])
+        period = 1
+        while period <= PERIOD and 2 * period <= len(nodes):
+            if all(_key(nodes[-k]) == _key(nodes[-k - period]) for k in range(1, period + 1)):
+                for k in range(-period, 0):
+                    nodes[k - period] = _repeat(nodes[k - period], nodes[k])
+                    members[k - period] += members[k]
+                del nodes[-period:], members[-period:]
+                period = 0
+            period += 1
+    return nodes, members
 
 
-def _pages(a: list[int], b: list[int]) -> list[int]:
-    return a if a == b else sorted({*a, *b})[:LEAST_PAGES]
+def tokens(page: list[tuple[str, bool, str]]) -> list[Node]:
+    return stream(page)[0]
 
 
 def _common(a: list[tuple[str, bool]], b: list[tuple[str, bool]]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence; equal ends are matched first."""
+    """Places of a common subsequence: equal ends, and between them the longest rising chain of the k-th occurrences of a
+    key on either side."""
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
+    where: dict[tuple[str, bool], list[int]] = defaultdict(list)
+    for j in range(len(b) - tail - 1, head - 1, -1):
+        where[b[j]].append(j)
+    ends: list[int] = []
+    last: list[int] = []
+    pairs: list[tuple[int, int, int]] = []
+    for i in range(head, len(a) - tail):
+        if where.get(a[i]):
+            j = where[a[i]].pop()
+            k = bisect_left(ends, j)
+            pairs.append((i, j, last[k - 1] if k else -1))
+            ends[k : k + 1], last[k : k + 1] = [j], [len(pairs) - 1]
     middle = []
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            middle.append((head + i, head + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return [(k, k) for k in range(head)] + middle + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    at = last[-1] if last else -1
+    while at >= 0:
+        i, j, at = pairs[at]
+        middle.append((i, j))
+    return [(k, k) for k in range(head)] + middle[::-1] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
@@ -98,8 +129,7 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
 
     def add(node: Node) -> None:
         if out and _key(out[-1]) == _key(node):
-            last = out[-1]
-            out[-1] = [last[0], last[1], last[2] and node[2], True, None, _pages(last[5], node[5]), last[6] + node[6]]
+            out[-1] = _repeat(out[-1], node)
         else:
             out.append(node)
 
@@ -110,75 +140,73 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     for p, q in _common([_key(n) for n in a], [_key(n) for n in b]):
         only(a[i:p])
         only(b[j:q])
-        m, n = a[p], b[q]
-        add([*_key(m), m[2] or n[2], m[3] or n[3], m[4] if m[4] == n[4] else None, _pages(m[5], n[5]), m[6] + n[6]])
+        add(_same(a[p], b[q]))
         i, j = p + 1, q + 1
     only(a[i:])
     only(b[j:])
-    if len(out) > NODES:
-        # A wrapper this long has lost its order; one node for each path and fate is left.
-        by_path: dict[tuple[str, bool], Node] = {}
-        for n in out:
-            if _key(n) in by_path:
-                o = by_path[_key(n)]
-                by_path[_key(n)] = [*_key(o), True, True, None, _pages(o[5], n[5]), o[6] + n[6]]
-            else:
-                by_path[_key(n)] = n
-        out = list(by_path.values())
     return out
 
 
-def host(url: Column) -> Column:
-    return F.coalesce(F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
+def _structure(nodes: list[Node]) -> str:
+    return hashlib.blake2b(json.dumps([_key(n) for n in nodes]).encode(), digest_size=12).hexdigest()
 
 
-def _add(found: dict[str, list[Node]], key: str, wrapper: list[Node]) -> None:
-    found[key] = align(found[key], wrapper) if key in found else wrapper
+def host(url: Column) -> Column:
+    return F.coalesce(F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def _batch(found: dict[str, list[Node]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=["host", "wrapper"])
+def _batch(rows: list[tuple[str, str, list[Node]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in rows], pa.string()), pa.array([s for _, s, _ in rows], pa.string()), pa.array([json.dumps(w) for _, _, w in rows], pa.string())], names=["host", "structure", "wrapper"])
 
 
 @lean
-def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, list[Node]] = {}
+def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams of pages, those of one host and structure as one."""
+    found: dict[tuple[str, str], list[Node]] = {}
     for batch in batches:
         for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            read = blocks(page or "")
-            if name and not _has_article(read):
-                _add(found, name, tokens(read))
-        if len(found) > HOSTS:
-            yield _batch(found)
+            nodes = tokens(blocks(page or "")) if name else []
+            if nodes:
+                key = name, _structure(nodes)
+                found[key] = list(map(_same, found[key], nodes)) if key in found else nodes
+        if len(found) > HELD:
+            yield _batch([(*k, w) for k, w in found.items()])
             found = {}
     if found:
-        yield _batch(found)
+        yield _batch([(*k, w) for k, w in found.items()])
 
 
 @lean
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges wrappers of neighbouring rows of one host."""
-    key, wrapper = None, None
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One wrapper for the neighbouring rows of a host and group; of those, equal structures combine first."""
+    key: tuple | None = None
+    whole: list[Node] = []
+    last: tuple[str, list[Node]] | None = None
     for batch in batches:
-        for name, raw in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-            if name == key:
-                wrapper = align(wrapper, json.loads(raw))
-            else:
-                if key is not None:
-                    yield _batch({key: wrapper})
-                key, wrapper = name, json.loads(raw)
+        columns = (batch.column(c).to_pylist() for c in ("host", "salt", "structure", "wrapper"))
+        for name, salt, structure, raw in zip(*columns, strict=True):
+            nodes = json.loads(raw)
+            if key == (name, salt) and last[0] == structure:
+                last = structure, list(map(_same, last[1], nodes))
+                continue
+            if key is not None:
+                whole = align(whole, last[1]) if whole else last[1]
+                if key != (name, salt):
+                    yield _batch([(key[0], f"{key[1]:04}", whole)])
+                    whole = []
+            key, last = (name, salt), (structure, nodes)
     if key is not None:
-        yield _batch({key: wrapper})
+        yield _batch([(key[0], f"{key[1]:04}", align(whole, last[1]) if whole else last[1])])
 
 
 def infer(pages: DataFrame) -> DataFrame:
     """host and wrapper (JSON) of every host of pages (host, html)."""
-    kinds = "host string, wrapper string"
+    kinds = "host string, structure string, wrapper string"
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = pages.select("host", "html").mapInArrow(_inferred, kinds)
-    salt = F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))
-    out = out.withColumn("_salt", salt).repartition(parts, "host", "_salt").sortWithinPartitions("host", "_salt", "wrapper").select("host", "wrapper").mapInArrow(_merged, kinds)
-    return out.repartition(parts, "host").sortWithinPartitions("host", "wrapper").mapInArrow(_merged, kinds)
+    out = pages.select("host", "html").mapInArrow(_structures, kinds)
+    for salt in (F.pmod(F.crc32(F.col("structure").cast("binary")), F.lit(SALTS)).cast("int"), F.lit(0)):
+        out = out.withColumn("salt", salt).repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", "structure", "wrapper").mapInArrow(_aligned, kinds)
+    return out.select("host", "wrapper")
 
 
 def _in_article(path: str) -> bool:
@@ -206,34 +234,22 @@ def _within(path: str, main: str) -> bool:
     return not main or (path + "/").startswith(main + "/")
 
 
-def varying(wrapper: list[Node]) -> list[bool]:
-    """Which nodes are neither dropped nor template text."""
-    return [not n[1] and (n[4] is None or n[3] or len(n[5]) < LEAST_PAGES) for n in wrapper]
-
-
 class Wrapper:
     """Reads pages of a host."""
 
     def __init__(self, nodes: list[Node]):
         self.keys = [_key(n) for n in nodes]
-        self.keep = varying(nodes)
-        self.main = _main([(n[0], n[6]) for n, k in zip(nodes, self.keep, strict=True) if k])
+        self.template = [n[4] is not None and len(n[5]) >= LEAST_PAGES for n in nodes]
+        varying = [n for n, t in zip(nodes, self.template, strict=True) if not n[1] and not t]
+        self.main = _main([(n[0], n[6]) for n in varying])
 
     def text(self, page: list[tuple[str, bool, str]]) -> str:
-        if _has_article(page):
-            return "\n".join(text for path, drop, text in page if not drop and _in_article(path))
-        own = tokens(page)
-        fate = [False] * len(own)
+        own, members = stream(page)
         matched = dict((q, p) for p, q in _common(self.keys, [_key(n) for n in own]))
-        for q, n in enumerate(own):
-            p = matched.get(q)
-            fate[q] = self.keep[p] if p is not None else _key(n) in self.keys and self.keep[self.keys.index(_key(n))]
-        left, q, last = [], -1, None
-        for path, drop, text in page:
-            if (path, drop) != last:
-                q, last = q + 1, (path, drop)
-            if fate[q] and not drop:
-                left.append((path, text))
+        template = {at for q, p in matched.items() if self.template[p] for at in members[q]}
+        left = [(path, text) for at, (path, drop, text) in enumerate(page) if not drop and at not in template]
+        if _has_article(page):
+            return "\n".join(text for path, text in left if _in_article(path))
         inside = sum(len(text) for path, text in left if _within(path, self.main))
         main = self.main
         if inside < SHARE * sum(len(text) for _, text in left):
@@ -255,7 +271,7 @@ def _read(wrappers: dict[str, str] | None):
                     texts.append(Wrapper(tokens(found)).text(found))
                     continue
                 if name not in ready:
-                    if len(ready) > HOSTS:
+                    if len(ready) > HELD:
                         ready.clear()
                     ready[name] = Wrapper(json.loads(raw))
                 texts.append(ready[name].text(found))

@@ -1,6 +1,7 @@
 """Shards, packing, the token store, exact search and page text."""
 
 import math
+import time
 import zlib
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kinetra.llm import packing, sharding, tokens, tokenstore, topk, wrappers
@@ -232,3 +234,59 @@ def test_layouts_of_a_host_and_pages_without_host(spark):
 )
 def test_attributes_are_read_whole(attributes, dropped):
     assert blocks(f"<p {attributes}>text</p>")[0][1:] == (dropped, "text")
+
+
+def site(n, extra=""):
+    """Pages with neutral names: what is template and what is article shows only from page to page."""
+    body = "".join(f"<p>Own {n} part {k} " + "lorem ipsum " * 5 + "</p>" + f"<h3>Sub {n} {k}</h3>" * (k % 2) for k in range(1 + n % 4))
+    return f"<body><div class=x1><p>Start here</p><p>Your town</p></div><div class=x2><article><h1>Head {n}</h1><div class=x3>Read us daily</div>{body}<div class=x4>Write to us</div>{extra}</article></div><p>The end</p>"
+
+
+def test_template_text_is_found_by_inference_only(spark):
+    rows = [(n, f"http://a.example.com/{n}", site(n, "<section><p>Rare</p></section>" * (n == 5))) for n in range(12)]
+    rows += [(100 + n, f"http://b{n}.example.com/", site(n)) for n in range(3)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for n in range(12):
+        own = [text for text in got[n].split("\n")]
+        assert own[0] == f"Head {n}" and own[1].startswith(f"Own {n} part 0") and not {"Read us daily", "Write to us", "Start here", "The end"} & set(own)
+        assert len(own) == 1 + sum(1 + k % 2 for k in range(1 + n % 4)) + (n == 5)
+        alone = wrappers.Wrapper(wrappers.tokens(blocks(site(n)))).text(blocks(site(n)))
+        assert "Read us daily" in alone and "Write to us" in alone
+    assert got[5].endswith("Rare")
+    assert all("Read us daily" in got[100 + n] for n in range(3))
+
+
+def test_wrappers_do_not_depend_on_partitions(spark):
+    rows = [(n, f"http://a.example.com/{n}", site(n * 7 % 23, "<section><p>Rare</p></section>" * (n % 5 == 0)).replace("<h3>", "<h4>" if n % 3 else "<h3>")) for n in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", wrappers.host(F.col("url")))
+    found = [sorted(map(tuple, wrappers.infer(x).collect())) for x in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("page_id")).repartition(5, "page_id"))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 1
+
+
+def test_repeated_groups_fold():
+    nodes, members = wrappers.stream([("a", False, "1")] + [(k, False, str(i)) for i in range(5) for k in "bcd"] + [("b", False, "x")])
+    assert [n[0] for n in nodes] == ["a", "b", "c", "d", "b"] and [n[3] for n in nodes] == [False, True, True, True, False]
+    assert members[2] == [2, 5, 8, 11, 14]
+
+
+def test_long_pages_are_aligned_in_seconds():
+    rng = np.random.default_rng(1)
+    page = [(f"a/{k}", False, str(i)) for i, k in enumerate(rng.integers(0, 40, 50_000))]
+    began = time.process_time()
+    a, b = wrappers.tokens(page), wrappers.tokens(page[1000:30_000] + page[:1000] + page[30_000:])
+    whole = wrappers.align(a, b)
+    assert time.process_time() - began < 30
+    keys = [n[:2] for n in whole]
+    for part in (a, b):
+        at = iter(keys)
+        assert all(n[:2] in at for n in part[:2000:97])
+    assert wrappers.Wrapper(whole).text(page) == "\n".join(t for _, _, t in page)
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_alignment_is_a_common_subsequence(a, b):
+    a, b = [(x, False) for x in a], [(x, False) for x in b]
+    found = wrappers._common(a, b)
+    assert all(a[i] == b[j] for i, j in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+    assert wrappers._common(a, a) == [(k, k) for k in range(len(a))]
