@@ -13,12 +13,14 @@ from kinetra.session import shared_dir, ship, table
 SQL: dict[str, str] = {}
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a worker holds few texts at once."""
+    """Small Arrow batches, by rows and by bytes, so that a worker holds few texts at once; both stay set for the session."""
     ship(spark)
     spark.conf.set(ARROW_ROWS, "1000")
+    spark.conf.set(ARROW_BYTES, str(8 << 20))
     return spark
 
 
