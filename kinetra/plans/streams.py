@@ -12,21 +12,19 @@ from kinetra.streaming import sources, stateful
 
 def _timed(stream):
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
-    return stream.select("event_id", (micros * 1000).alias("t"), "user_id", "event_type", "value")
+    return stream.select("event_id", (micros * 1000).alias("t"), "ts", "user_id", "event_type", "value")
 
 
 @query(ORACLE_SQL["w3_cadence_sampling"])
 def st_cadence_stream(spark, d):
     """The cadence fold on a stream: the same rows as in batch."""
-    stateful.configure(spark)
-    return sources.drain(stateful.run_fold(_timed(sources.event_stream(spark, d)), folds.Cadence(24 * HOUR), "user_id", ORDER))
+    return stateful.folded(_timed(sources.event_stream(spark, d)), folds.Cadence(24 * HOUR), "user_id", ORDER, "ts")
 
 
 @query()
 def st_pairing_stream(spark, d):
     """One-to-one pairing of two streams with bounded skew."""
-    stateful.configure(spark)
-    return sources.drain(stateful.run_fold(_timed(sources.event_stream(spark, d)), folds.Pairing(12 * HOUR, "view", "click"), "user_id", ORDER))
+    return stateful.folded(_timed(sources.event_stream(spark, d)), folds.Pairing(12 * HOUR, "view", "click"), "user_id", ORDER, "ts")
 
 
 @query("""WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
