@@ -1,4 +1,8 @@
-"""Aggregates: metrics, grouped and weighted quantiles, ranks and weights. All have partial forms; none collects a group."""
+"""Aggregates: metrics, grouped and weighted quantiles, ranks and weights.
+
+Sums, counts and moments combine before the shuffle. Exact quantiles need a group's values in order: they keep the distinct
+values of a group with their counts, in one buffer (percentile) or one sorted window, which grows with those values.
+"""
 
 from __future__ import annotations
 

@@ -28,6 +28,36 @@ def shape_features(window: Column) -> Column:
     return F.struct(mean.alias("mean"), F.sqrt(F.greatest(total(lambda x: x * x) / n - mean * mean, F.lit(0.0))).alias("std"), F.array_min(window).alias("low"), F.array_max(window).alias("high"), F.sqrt(total(lambda x: x * x) / n).alias("rms"), (quantile(0.75) - quantile(0.25)).alias("iqr"), (crossed / F.greatest(n - 1, F.lit(1))).alias("crossings"))
 
 
+def allowed(df: DataFrame, keys: list[str], names: list[str], target: str) -> DataFrame:
+    """keys and the allowed features in order; the target among them, or a feature that df lacks, is an error."""
+    if target in names or target in keys:
+        raise ValueError(f"the target {target} is no feature")
+    lost = [c for c in names if c not in df.columns]
+    if lost:
+        raise ValueError(f"features are missing: {lost}")
+    return df.select(*keys, *names)
+
+
+#: Names of shape_features, in order.
+SHAPES = ("mean", "std", "low", "high", "rms", "iqr", "crossings")
+
+
+def _magnitude(axes: list[str]) -> Column:
+    return F.transform(F.arrays_zip(*axes), lambda r: F.sqrt(sum((r[a] * r[a] for a in axes), F.lit(0.0))))
+
+
+def window_features(df: DataFrame, windows: dict[str, str], triples: dict[str, list[str]]) -> DataFrame:
+    """df with <name>_<shape> for each window column, and for each triple of axes the mean and deviation of its magnitude.
+
+    windows: name and array column; triples: name and the array columns of its axes. All in the JVM.
+    """
+    for name, column in windows.items():
+        df = df.withColumn("_f", shape_features(F.col(column))).select("*", *[F.col(f"_f.{s}").alias(f"{name}_{s}") for s in SHAPES]).drop("_f")
+    for name, axes in triples.items():
+        df = df.withColumn("_f", shape_features(_magnitude(axes))).select("*", F.col("_f.mean").alias(f"{name}_mean"), F.col("_f.std").alias(f"{name}_std")).drop("_f")
+    return df
+
+
 def low_frequency_share(window: Column, rate: float, below: float) -> Column:
     """Share of a window's power (less its mean) at or below a frequency: a Fourier transform, hence a vectorised UDF."""
 

@@ -148,6 +148,31 @@ class Mode(Fold):
         return [mode, last, streak], [(int(row["event_id"]), mode, streak)]
 
 
+class Recovery(Fold):
+    """Whether a fix may restart the filter: after a silence only the second of two fixes in a row that are near each other."""
+
+    def __init__(self, silence: int, near: float):
+        self.silence, self.near = silence, near
+        self.columns, self.schema = ["t", "event_id", "fix", "x", "y"], "event_id bigint, said string"
+
+    def initial(self):
+        return [None, None]
+
+    def step(self, state, row):
+        seen, pending = state
+        said = "none"
+        if row["fix"]:
+            at = [float(row["x"]), float(row["y"])]
+            if seen is None or row["t"] - seen < self.silence:
+                said = "aided"
+            elif pending is not None and math.hypot(at[0] - pending[0], at[1] - pending[1]) <= self.near:
+                said = "reinitialised"
+            else:
+                said = "pending"
+            seen, pending = (seen, at) if said == "pending" else (int(row["t"]), None)
+        return [seen, pending], [(int(row["event_id"]), said)]
+
+
 class Smoothed(Fold):
     """Exponential average of a heading in degrees, over the shorter way round."""
 
@@ -384,14 +409,11 @@ class ErrorState(Fold):
         world = r @ a
         return dict(s, p=(p + v * dt + world * dt * dt / 2).tolist(), v=(v + world * dt).tolist(), q=_turn(q, w * dt).tolist(), P=((cov + cov.T) / 2).tolist())
 
-    def correct(self, s: dict, position: np.ndarray) -> tuple[dict, bool]:
+    def update(self, s: dict, h: np.ndarray, y: np.ndarray, noise: np.ndarray, gate: float) -> tuple[dict, bool]:
+        """A linear measurement with innovation y, if it passes the gate on the normalised innovation squared."""
         cov = np.array(s["P"], float)
-        h = np.zeros((3, 15))
-        h[:, :3] = np.eye(3)
-        noise = np.eye(3) * self.fix**2
-        y = position - np.array(s["p"])
         innovation = h @ cov @ h.T + noise
-        if float(y @ np.linalg.solve(innovation, y)) > self.gate:
+        if float(y @ np.linalg.solve(innovation, y)) > gate:
             return s, False
         k = np.linalg.solve(innovation, h @ cov).T
         dx = k @ y
@@ -403,6 +425,11 @@ class ErrorState(Fold):
         add = lambda name, a: (np.array(s[name]) + dx[a : a + 3]).tolist()
         return dict(s, p=add("p", 0), v=add("v", 3), q=_turn(np.array(s["q"], float), dx[6:9]).tolist(), ba=add("ba", 9), bg=add("bg", 12), P=((cov + cov.T) / 2).tolist()), True
 
+    def correct(self, s: dict, position: np.ndarray) -> tuple[dict, bool]:
+        h = np.zeros((3, 15))
+        h[:, :3] = np.eye(3)
+        return self.update(s, h, position - np.array(s["p"]), np.eye(3) * self.fix**2, self.gate)
+
     def step(self, s, row):
         t, said = int(row["t"]), "propagated"
         dt = 0.0 if s["t"] is None else (t - s["t"]) / 1e9
@@ -416,3 +443,52 @@ class ErrorState(Fold):
         s = dict(s, t=t)
         sigma = math.sqrt(max(0.0, sum(s["P"][i][i] for i in range(3))))
         return s, [(int(row["event_id"]), *s["p"], math.sqrt(sum(x * x for x in s["v"])), sigma, said)]
+
+
+class Tick(ErrorState):
+    """The filter's tick: propagate, then forward speed, yaw, non-holonomic, road and route updates, in this order.
+
+    A null measurement is skipped. Yaw is that of the nose, counter-clockwise from east; a road or route row gives the unit
+    normal of its line and the signed distance of the line from the origin along it.
+    """
+
+    ORDER = ("forward", "yaw", "nhc", "road", "route")
+
+    def __init__(self, sigmas: dict[str, float], gate: float = 6.63, **more: float):
+        super().__init__(**more)
+        self.sigmas, self.scalar_gate = sigmas, gate
+        self.columns = ["t", "event_id", "ax", "ay", "az", "gx", "gy", "gz", "forward", "yaw", "nhc", "road_nx", "road_ny", "road_at", "route_nx", "route_ny", "route_at"]
+        self.schema = "event_id bigint, x double, y double, speed double, updates string"
+
+    def _measured(self, s: dict, kind: str, row: dict) -> tuple[np.ndarray, np.ndarray] | None:
+        """(rows of the measurement matrix, innovations), or None if the row has no such measurement."""
+        r, h = _matrix(np.array(s["q"], float)), np.zeros((2 if kind == "nhc" else 1, 15))
+        body = r.T @ np.array(s["v"])
+        given = row["nhc" if kind == "nhc" else kind if kind in ("forward", "yaw") else f"{kind}_at"]
+        if given is None or given is False or given != given:
+            return None
+        if kind in ("forward", "nhc"):
+            some = slice(0, 1) if kind == "forward" else slice(1, 3)
+            h[:, 3:6], h[:, 6:9] = r.T[some], skew(body)[some]
+            return h, (np.array([given]) if kind == "forward" else np.zeros(2)) - body[some]
+        if kind == "yaw":
+            h[0, 6:9] = r[2]
+            return h, np.array([(given - math.atan2(r[1, 0], r[0, 0]) + math.pi) % (2 * math.pi) - math.pi])
+        normal = np.array([row[f"{kind}_nx"], row[f"{kind}_ny"], 0.0])
+        h[0, :3] = normal
+        return h, np.array([given - normal @ np.array(s["p"])])
+
+    def step(self, s, row):
+        t, done = int(row["t"]), []
+        dt = 0.0 if s["t"] is None else (t - s["t"]) / 1e9
+        if 0 < dt <= self.longest:
+            s = self.propagate(s, np.array([row["ax"], row["ay"], row["az"]], float), np.array([row["gx"], row["gy"], row["gz"]], float), dt)
+            done.append("propagate")
+        for kind in self.ORDER:
+            found = self._measured(s, kind, row)
+            if found is not None:
+                h, y = found
+                s, ok = self.update(s, h, y, np.eye(len(y)) * self.sigmas[kind] ** 2, self.scalar_gate * len(y))
+                done.append(kind if ok else f"{kind} rejected")
+        s = dict(s, t=t)
+        return s, [(int(row["event_id"]), s["p"][0], s["p"][1], math.sqrt(sum(x * x for x in s["v"])), ",".join(done))]

@@ -67,6 +67,15 @@ def corridor(points: DataFrame, key: list[str], order: str, x: str, y: str, spac
     return legs.withColumn("i", F.explode(cover("_px"))).withColumn("j", F.explode(cover("_py"))).select(*key, "i", "j").distinct()
 
 
+def coverage(points: DataFrame, key: list[str], order: str, x: str, y: str, parts: dict[str, Column], spacing: float, buffer: float, side: float) -> DataFrame:
+    """key, tile (i, j) and part: a corridor for each part of a route; a tile belongs to the first part (in order) that touches it."""
+    names = list(parts)
+    member = F.explode(F.array_compact(F.array(*[F.when(held, F.lit(k)) for k, held in enumerate(parts.values())])))
+    tiles = corridor(points.withColumn("_part", member), [*key, "_part"], order, x, y, spacing, buffer, side)
+    first = tiles.groupBy(*key, "i", "j").agg(F.min("_part").alias("_part"))
+    return first.select(*key, "i", "j", F.element_at(F.array(*map(F.lit, names)), F.col("_part") + 1).alias("part"))
+
+
 def soft_match(distance: Column, heading: Column, sigma: float, continues: Column, connected: Column, on_route: Column) -> Column:
     """Score of a candidate road: Gaussian in distance, cosine of heading, and factors for continuity, topology, route."""
     bonus = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(1.0))

@@ -1,8 +1,8 @@
 """Splits that keep groups whole.
 
-Group sizes are aggregated in Spark; the greedy assignment runs on the driver over at most GROUPS groups, and its result
-(a row a group) is joined back, broadcast only below that bound. With more groups, groups are gathered by hash into GROUPS
-bundles first, so neither driver memory nor the broadcast grows with the data.
+Group sizes are aggregated in Spark; the greedy assignment runs on the driver over the groups themselves, and its result
+(a row a group) is joined back. Beyond GROUPS groups they are gathered by hash into GROUPS bundles first, so that neither
+driver memory nor the broadcast grows with the data; bundles are then what stays whole.
 """
 
 from __future__ import annotations
@@ -10,35 +10,38 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GROUPS = 100_000
 
 
-def _units(df: DataFrame, group: str) -> tuple[DataFrame, list]:
-    """df with _unit (the group, or its bundle) and (unit, rows) in a fixed order."""
-    unit = F.pmod(F.xxhash64(group), F.lit(GROUPS))
-    df = df.withColumn("_unit", unit)
-    sizes = df.groupBy("_unit").agg(F.count("*").alias("n")).collect()
-    return df, sorted(((r["_unit"], r.n) for r in sizes), key=lambda x: (-x[1], x[0]))
+def _units(df: DataFrame, group: str, *more: Column) -> tuple[DataFrame, list]:
+    """df with _unit (the group, or its bundle) and (unit, rows, more aggregates) by unit."""
+    many = df.select(group).distinct().limit(GROUPS + 1).count() > GROUPS
+    df = df.withColumn("_unit", F.pmod(F.xxhash64(group), F.lit(GROUPS)).cast("string") if many else F.col(group).cast("string"))
+    sizes = df.groupBy("_unit").agg(F.count("*").alias("n"), *more).collect()
+    return df, sorted((tuple(r) for r in sizes), key=lambda r: (r[0] is not None, r[0]))
 
 
 def _back(df: DataFrame, rows: list[tuple], name: str, kind: str) -> DataFrame:
-    plan = df.sparkSession.createDataFrame(rows, f"_unit bigint, {name} {kind}")
-    return df.join(F.broadcast(plan), "_unit").drop("_unit")
+    plan = df.sparkSession.createDataFrame(rows, f"_of string, {name} {kind}")
+    # At most GROUPS rows.
+    return df.join(F.broadcast(plan), F.col("_unit").eqNullSafe(F.col("_of"))).drop("_unit", "_of")
 
 
 def balanced_folds(df: DataFrame, group: str, folds: int, seed: int = 42) -> DataFrame:
-    """fold of each row: groups by falling size, ties by a seeded permutation, each to the lightest fold."""
+    """fold of each row: groups by falling size, ties by a seeded permutation of sorted names, each to the fold with the
+    fewest rows, then the fewest groups, then the least number."""
     df, units = _units(df, group)
-    tie = np.random.default_rng(seed).permutation(len(units))
-    heap = [(0, k) for k in range(folds)]
+    tie = np.empty(len(units), np.int64)
+    tie[np.random.default_rng(seed).permutation(len(units))] = np.arange(len(units))
+    heap = [(0, 0, k) for k in range(folds)]
     out = []
     for i in sorted(range(len(units)), key=lambda i: (-units[i][1], tie[i])):
-        weight, fold = heapq.heappop(heap)
+        weight, groups, fold = heapq.heappop(heap)
         out.append((units[i][0], fold))
-        heapq.heappush(heap, (weight + units[i][1], fold))
+        heapq.heappush(heap, (weight + units[i][1], groups + 1, fold))
     return _back(df, out, "fold", "int")
 
 
@@ -46,8 +49,8 @@ def deficit_split(df: DataFrame, group: str, shares: dict[str, float]) -> DataFr
     """split of each row: groups by falling size, each to the split that is furthest below its share; one or two groups
     go to the first splits in order."""
     df, units = _units(df, group)
-    total, held, out = sum(n for _, n in units), dict.fromkeys(shares, 0), []
-    for i, (unit, n) in enumerate(units):
+    total, held, out = sum(u[1] for u in units), dict.fromkeys(shares, 0), []
+    for i, (unit, n) in enumerate(sorted(units, key=lambda u: -u[1])):
         name = list(shares)[i] if len(units) < len(shares) else max(shares, key=lambda s: shares[s] * total - held[s])
         held[name] += n
         out.append((unit, name))
@@ -55,31 +58,32 @@ def deficit_split(df: DataFrame, group: str, shares: dict[str, float]) -> DataFr
 
 
 def best_holdout(df: DataFrame, group: str, value: str, share: float, tries: int, seed: int = 42) -> DataFrame:
-    """held_out of each row: of many random holdouts of whole groups the one whose size and mean are nearest to the whole."""
-    df = df.withColumn("_unit", F.pmod(F.xxhash64(group), F.lit(GROUPS)))
-    rows = sorted(df.groupBy("_unit").agg(F.count("*").alias("n"), F.sum(value).alias("s")).collect(), key=lambda r: r["_unit"])
-    n, s = np.array([r.n for r in rows], float), np.array([float(r.s or 0) for r in rows])
-    rng, best = np.random.default_rng(seed), (np.inf, None)
+    """held_out of each row: of many random holdouts of whole groups the one nearest to the whole in size, mean and spread."""
+    df, units = _units(df, group, F.sum(value).alias("s"), F.sum(F.pow(value, F.lit(2))).alias("q"))
+    n, s, q = (np.array([float(u[k] or 0) for u in units]) for k in (1, 2, 3))
+    spread = lambda n, s, q: np.sqrt(max(q / n - (s / n) ** 2, 0.0))
+    whole = spread(n.sum(), s.sum(), q.sum())
+    rng, best = np.random.default_rng(seed), (np.inf, np.zeros(len(units), bool))
     for _ in range(tries):
-        pick = rng.random(len(rows)) < share
+        pick = rng.random(len(units)) < share
         if pick.any() and not pick.all():
-            score = abs(n[pick].sum() / n.sum() - share) / share + abs(s[pick].sum() / n[pick].sum() - s.sum() / n.sum()) / (abs(s.sum() / n.sum()) + 1e-12)
+            size, total, square = n[pick].sum(), s[pick].sum(), q[pick].sum()
+            score = abs(size / n.sum() - share) / share + (abs(total / size - s.sum() / n.sum()) + abs(spread(size, total, square) - whole)) / (whole + 1e-12)
             if score < best[0]:
                 best = (score, pick)
-    return _back(df, [(r["_unit"], bool(p)) for r, p in zip(rows, best[1], strict=True)], "held_out", "boolean")
+    return _back(df, [(u[0], bool(p)) for u, p in zip(units, best[1], strict=True)], "held_out", "boolean")
 
 
 def descriptor_folds(df: DataFrame, group: str, value: str, folds: int) -> DataFrame:
     """fold of each row: groups by falling size, each to the fold that keeps sizes and sums of value most even."""
-    df = df.withColumn("_unit", F.pmod(F.xxhash64(group), F.lit(GROUPS)))
-    rows = sorted(df.groupBy("_unit").agg(F.count("*").alias("n"), F.sum(value).alias("s")).collect(), key=lambda r: (-r.n, r["_unit"]))
-    total = np.array([sum(r.n for r in rows), sum(float(r.s or 0) for r in rows)])
+    df, units = _units(df, group, F.sum(value).alias("s"))
+    total = np.array([sum(u[1] for u in units), sum(float(u[2] or 0) for u in units)])
     held, out = np.zeros((folds, 2)), []
-    for r in rows:
-        mine = np.array([r.n, float(r.s or 0)])
+    for unit, n, s in sorted(units, key=lambda u: -u[1]):
+        mine = np.array([n, float(s or 0)])
         k = int(np.argmin([(((held[f] + mine) / total) ** 2).sum() - ((held[f] / total) ** 2).sum() for f in range(folds)]))
         held[k] += mine
-        out.append((r["_unit"], k))
+        out.append((unit, k))
     return _back(df, out, "fold", "int")
 
 

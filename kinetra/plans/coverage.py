@@ -12,6 +12,7 @@ from kinetra.operators import features, folds
 from kinetra.operators import timeseries as ts
 from kinetra.plans.registry import DAY, HOUR, KEY, ORDER, query, stream
 from kinetra.session import table
+from kinetra.sources import roads
 
 
 def _w():
@@ -24,13 +25,11 @@ def p4_p6_p7_predicates(spark, d):
     return df.select("event_id", (F.col("value") < 3).alias("too_slow"), geodesy.valid(F.col("value"), (F.col("k") * 4 - 180).cast("double")).alias("valid_position"), F.round(scalars.finite(F.ln("value")), 6).alias("finite"))
 
 
-@query("""SELECT string_agg(c, ',' ORDER BY c) AS used FROM (SELECT unnest(['l_discount', 'l_quantity', 'l_tax']) AS c)""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_quantity, l_tax FROM lineitem""")
 def p8_feature_allow_list(spark, d):
-    """Only allowed features, never the target, reach a model."""
-    allowed, target = {"l_quantity", "l_discount", "l_tax"}, "l_extendedprice"
-    features_ = table(spark, d, "lineitem").select(*sorted(allowed))
-    schemas.same_columns(features_, sorted(allowed - {target}))
-    return spark.createDataFrame([(",".join(features_.columns),)], "used string")
+    """Rows as a model may see them: their keys and allowed features, in order, never the target."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return features.allowed(table(spark, d, "lineitem"), keys, ["l_discount", "l_quantity", "l_tax"], "l_extendedprice")
 
 
 @query("""WITH $EV, f AS (SELECT *, max(CASE WHEN event_type = 'view' THEN t END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS anchor FROM ev)
@@ -184,18 +183,26 @@ def x9_ablation_table(spark, d):
     return ag.nearest_rank(l.withColumn("v", F.abs(F.col("l_extendedprice") - 50000 * F.col("gain"))), ["l_returnflag", "gain"], "v", [0.5, 0.95])
 
 
-@query("""WITH $EV, t AS (SELECT concat_ws(':', 'deg', '100', CAST(floor((52 + value / 1000) * 100) AS BIGINT), CAST(floor((-1.5 + k / 1000.0) * 100) AS BIGINT)) AS tile FROM ev) SELECT tile, count(*) AS n FROM t GROUP BY 1""")
-def x10_x11_tile_buckets(spark, d):
-    df = stream(spark, d).withColumn("tile", geodesy.tile_key(52 + F.col("value") / 1000, F.lit(-1.5) + F.col("k") / 1000.0, 0.01))
-    return df.groupBy("tile").agg(F.count("*").alias("n"))
+@query("""WITH s AS (SELECT l_orderkey AS way, l_linenumber AS place, l_partkey AS node FROM lineitem WHERE l_linestatus = 'F'), w AS (SELECT way FROM s GROUP BY 1 HAVING count(DISTINCT node) > 1)
+SELECT node, CAST(count(DISTINCT way) AS BIGINT) AS ways, count(DISTINCT way) > 1 AS is_intersection FROM s JOIN w USING (way) GROUP BY 1""")
+def x10_way_nodes(spark, d):
+    """Nodes merged over the ways that pass a filter (by status, and with two nodes at least), with their distinct ways."""
+    s = table(spark, d, "lineitem").filter("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("way")).agg(F.collect_set("l_partkey").alias("nodes")).filter(F.size("nodes") > 1)
+    return s.select("way", F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("ways")).withColumn("is_intersection", F.col("ways") > 1)
+
+
+@query("""WITH $EV, t AS (SELECT concat_ws('_', CAST(floor((52 + value / 1000) * 100) AS BIGINT), CAST(floor((-1.5 + k / 1000.0) * 100) AS BIGINT)) AS tile, event_id FROM ev) SELECT tile, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM t GROUP BY 1""")
+def x11_tile_files(spark, d):
+    """Rows written in a folder for each tile, and the manifest read back from those folders."""
+    df = stream(spark, d).withColumn("tile", F.concat_ws("_", F.floor((52 + F.col("value") / 1000) * 100), F.floor((F.lit(-1.5) + F.col("k") / 1000.0) * 100)))
+    return roads.tile_manifest(roads.write_tiles(df.select("tile", "event_id"), "tile"), "tile", "event_id")
 
 
-@query("""WITH a AS (SELECT l_orderkey AS id, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1), t AS (SELECT unnest(range(0, 50, 10)) AS t0) SELECT t0 AS tile, count(*) AS members, count(*) FILTER (lo >= t0 AND hi < t0 + 10) AS only_here FROM a, t WHERE lo < t0 + 10 AND hi >= t0 GROUP BY 1""")
+@query("""WITH a AS (SELECT l_orderkey AS id, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1), t AS (SELECT unnest(range(0, CAST((SELECT max(hi) FROM a) AS BIGINT) + 10, 10)) AS t0) SELECT t0 AS tile, count(*) AS members, count(*) FILTER (lo >= t0 AND hi < t0 + 10) AS only_here FROM a, t WHERE lo < t0 + 10 AND hi >= t0 GROUP BY 1""")
 def x12_overlap_membership(spark, d):
     """Which tiles an interval overlaps: the tiles are generated for each interval, not joined with all."""
     a = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
-    tiles = F.sequence(F.floor(F.col("lo") / 10), F.least(F.floor(F.col("hi") / 10), F.lit(4)))
-    a = a.filter("floor(lo / 10) <= 4").withColumn("i", F.explode(tiles))
+    a = a.withColumn("i", F.explode(F.sequence(F.floor(F.col("lo") / 10), F.floor(F.col("hi") / 10))))
     return a.groupBy((F.col("i") * 10).alias("tile")).agg(F.count("*").alias("members"), F.count_if((F.col("lo") >= F.col("i") * 10) & (F.col("hi") < F.col("i") * 10 + 10)).alias("only_here"))
 
 

@@ -230,11 +230,11 @@ def w30_binning(spark, d):
     return table(spark, d, "part").groupBy(digitize(F.col("p_retailprice"), [1000, 1500, 1900]).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, p.p_brand, s.s_nationkey, round(l.l_extendedprice / p.p_retailprice, 6) AS ratio FROM lineitem l JOIN part p ON l_partkey = p_partkey JOIN supplier s ON l_suppkey = s_suppkey WHERE p_size < 10""")
+@query("""SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, p.p_brand, s.s_nationkey, round(l.l_extendedprice / p.p_retailprice, 6) AS ratio FROM lineitem l JOIN part p ON l_partkey = p_partkey JOIN supplier s ON l_suppkey = s_suppkey""")
 def j6_star_join(spark, d):
     """Facts with dimension rows; which dimensions are broadcast is left to their measured size."""
     l, p, s = (table(spark, d, t) for t in ("lineitem", "part", "supplier"))
-    j = l.join(p.filter("p_size < 10"), l.l_partkey == p.p_partkey).join(s, l.l_suppkey == s.s_suppkey)
+    j = l.join(p, l.l_partkey == p.p_partkey).join(s, l.l_suppkey == s.s_suppkey)
     return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand", "s_nationkey", F.round(F.col("l_extendedprice") / F.col("p_retailprice"), 6).alias("ratio"))
 
 
@@ -255,15 +255,15 @@ def j7_j8_spatial_range_join(spark, d):
     return joins.within(a, b, "a", "b", 1.5).filter("a < b").select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query("""SELECT edge, max(p) AS prior FROM (SELECT l_partkey AS edge, l_discount AS p FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_partkey, l_tax FROM lineitem WHERE l_linenumber = 2) GROUP BY edge""")
+@query("""SELECT edge, max(p) AS prior FROM (SELECT l_partkey AS edge, l_discount AS p FROM lineitem UNION ALL SELECT l_partkey, l_tax FROM lineitem) GROUP BY edge""")
 def j9_belief_merge(spark, d):
     l = table(spark, d, "lineitem")
-    return joins.max_merge(l.filter("l_linenumber = 1").select(F.col("l_partkey").alias("edge"), F.col("l_discount").alias("p")), l.filter("l_linenumber = 2").select(F.col("l_partkey").alias("edge"), F.col("l_tax").alias("p")), ["edge"], "p", "prior")
+    return joins.max_merge(l.select(F.col("l_partkey").alias("edge"), F.col("l_discount").alias("p")), l.select(F.col("l_partkey").alias("edge"), F.col("l_tax").alias("p")), ["edge"], "p", "prior")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS cycle, l_partkey AS edge, l_linenumber AS n, l_suppkey AS s FROM lineitem WHERE l_linenumber <= 3) SELECT a.cycle, count(*) AS pairs, min(abs(a.edge - b.edge)) AS nearest FROM c a JOIN c b ON b.cycle = a.cycle - 1 GROUP BY a.cycle""")
+@query("""WITH c AS (SELECT l_orderkey AS cycle, l_partkey AS edge, l_linenumber AS n, l_suppkey AS s FROM lineitem) SELECT a.cycle, count(*) AS pairs, min(abs(a.edge - b.edge)) AS nearest FROM c a JOIN c b ON b.cycle = a.cycle - 1 GROUP BY a.cycle""")
 def j10_transition_join(spark, d):
-    c = table(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("cycle"), F.col("l_partkey").alias("edge"))
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cycle"), F.col("l_partkey").alias("edge"))
     before = c.select((F.col("cycle") + 1).alias("cycle"), F.col("edge").alias("was"))
     return c.join(before, "cycle").groupBy("cycle").agg(F.count("*").alias("pairs"), F.min(F.abs(F.col("edge") - F.col("was"))).alias("nearest"))
 
@@ -378,13 +378,21 @@ def g7_train_scaler(spark, d):
     return l.filter("l_orderkey % 5 = 0").join(s, "l_returnflag").groupBy("l_returnflag").agg(F.round(F.avg(z), 5).alias("mean"), F.round(F.stddev_pop(z), 5).alias("std"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)),
+f(i, loads, groups, best) AS (SELECT CAST(0 AS BIGINT), CAST([0, 0, 0, 0, 0] AS BIGINT[]), CAST([0, 0, 0, 0, 0] AS BIGINT[]), CAST(1 AS BIGINT) UNION ALL
+ SELECT i, loads, groups, list_position(c, list_min(c)) FROM (SELECT *, list_transform(range(1, 6), lambda k: loads[k] * 10000000 + groups[k] * 10 + k) AS c FROM
+  (SELECT g.i, list_transform(range(1, 6), lambda k: f.loads[k] + CASE WHEN k = f.best THEN g.n ELSE 0 END) AS loads, list_transform(range(1, 6), lambda k: f.groups[k] + CASE WHEN k = f.best THEN 1 ELSE 0 END) AS groups FROM f JOIN g ON g.i = f.i + 1))),
+last AS (SELECT * FROM f WHERE i = (SELECT count(*) FROM g)) SELECT CAST(k - 1 AS INT) AS fold, loads[k] AS n, groups[k] AS groups FROM last, (SELECT unnest(range(1, 6)) AS k)""")
 def g1_balanced_group_folds(spark, d):
     """Orders per fold when whole customers are dealt to the lightest fold, largest first."""
     return splits.balanced_folds(table(spark, d, "orders"), "o_custkey", 5).groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("groups"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i, sum(n) OVER () AS total FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)),
+f(i, held, groups) AS (SELECT CAST(0 AS BIGINT), CAST([0, 0, 0] AS BIGINT[]), CAST([0, 0, 0] AS BIGINT[]) UNION ALL
+ SELECT i, list_transform(range(1, 4), lambda k: held[k] + CASE WHEN k = best THEN n ELSE 0 END), list_transform(range(1, 4), lambda k: groups[k] + CASE WHEN k = best THEN 1 ELSE 0 END) FROM
+  (SELECT *, list_position(c, list_max(c)) AS best FROM (SELECT g.i, g.n, f.held, f.groups, list_transform(range(1, 4), lambda k: CAST([0.7, 0.15, 0.15][k] AS DOUBLE) * g.total - f.held[k]) AS c FROM f JOIN g ON g.i = f.i + 1)))
+SELECT ['train', 'validation', 'test'][k] AS split, held[k] AS n, groups[k] AS groups FROM (SELECT * FROM f WHERE i = (SELECT count(*) FROM g)), (SELECT unnest(range(1, 4)) AS k)""")
 def g2_deficit_split(spark, d):
     return splits.deficit_split(table(spark, d, "orders"), "o_custkey", {"train": 0.7, "validation": 0.15, "test": 0.15}).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("groups"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinetra import schemas
 from kinetra.functions import angles, geodesy, quaternions, scalars
 from kinetra.operators import aggregates as ag
 from kinetra.operators import folds, graph
@@ -21,7 +22,11 @@ def w3_cadence_sampling(spark, d):
     return folds.batch(stream(spark, d), folds.Cadence(24 * HOUR), "user_id", ORDER)
 
 
-@query()
+@query("""WITH RECURSIVE $EV, r AS (SELECT user_id, event_id, t, value AS x, CAST(k AS DOUBLE) AS y, k * 3.6 AS h, value / 10 AS v, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM ev),
+s(user_id, i, event_id, reason, x, y, h, v, t) AS (SELECT user_id, i, event_id, 'first', x, y, h, v, t FROM r WHERE i = 1 UNION ALL
+ SELECT user_id, i, event_id, why, CASE WHEN why IS NULL THEN px ELSE x END, CASE WHEN why IS NULL THEN py ELSE y END, CASE WHEN why IS NULL THEN ph ELSE h END, CASE WHEN why IS NULL THEN pv ELSE v END, CASE WHEN why IS NULL THEN pt ELSE t END FROM
+ (SELECT r.*, s.x AS px, s.y AS py, s.h AS ph, s.v AS pv, s.t AS pt, CASE WHEN sqrt(pow(r.x - s.x, 2) + pow(r.y - s.y, 2)) >= 80 THEN 'distance' WHEN abs(r.h - s.h) >= 250 THEN 'heading' WHEN abs(r.v - s.v) >= 10 THEN 'speed' WHEN r.t - s.t >= 5 * $DAY THEN 'time' END AS why FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1))
+SELECT user_id, event_id, reason FROM s WHERE reason IS NOT NULL""")
 def p12_coverage_coalescing(spark, d):
     df = stream(spark, d).withColumns({"x": F.col("value"), "y": F.col("k").cast("double"), "heading": (F.col("k") * 3.6), "speed": F.col("value") / 10})
     return folds.batch(df, folds.Coalesce(80.0, 250.0, 10.0, 5 * DAY), "user_id", ORDER)
@@ -32,8 +37,12 @@ def j2_greedy_pairing(spark, d):
     return folds.batch(stream(spark, d), folds.Pairing(12 * HOUR, "view", "click"), "user_id", ORDER)
 
 
-@query()
-def w17_w18_navigation_modes(spark, d):
+@query("""WITH RECURSIVE $EV, r AS (SELECT *, event_type = 'view' AS fix, value < 100 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM ev),
+s(user_id, i, event_id, mode, seen, streak) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 'initialising', CAST(NULL AS BIGINT), CAST(0 AS INT) FROM r WHERE i = 1 UNION ALL
+ SELECT user_id, i, event_id, CASE WHEN fix AND ok THEN CASE WHEN mode IN ('dead_reckoning', 'recovery') AND run < 2 THEN 'recovery' ELSE 'aided' END WHEN quiet THEN 'dead_reckoning' ELSE mode END, CASE WHEN fix AND ok THEN t ELSE seen END, CASE WHEN NOT (fix AND ok) AND quiet THEN 0 ELSE run END FROM
+ (SELECT r.user_id, r.i, r.event_id, r.t, r.fix, r.ok, s.mode, s.seen, coalesce(r.t - s.seen >= 48 * $HOUR, false) AS quiet, CAST(CASE WHEN r.fix AND r.ok THEN s.streak + 1 WHEN r.fix THEN 0 ELSE s.streak END AS INT) AS run FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1))
+SELECT user_id, event_id, mode, streak FROM s WHERE i > 0""")
+def w17_navigation_modes(spark, d):
     df = stream(spark, d).withColumns({"fix": F.col("event_type") == "view", "accepted": F.col("value") < 100})
     return folds.batch(df, folds.Mode(48 * HOUR, 2), "user_id", ORDER)
 
@@ -73,32 +82,39 @@ def w21_route_progress(spark, d):
     return folds.batch(df, folds.RouteProgress(20.0, 100.0), "user_id", ORDER)
 
 
-@query()
+@query("""WITH RECURSIVE $EV, r AS (SELECT user_id, event_id, k * 3.6 AS h, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM ev),
+s(user_id, i, event_id, smooth) AS (SELECT user_id, i, event_id, CAST(h AS DOUBLE) FROM r WHERE i = 1 UNION ALL
+ SELECT user_id, i, event_id, x - 360 * floor(x / 360) FROM (SELECT r.user_id, r.i, r.event_id, s.smooth + 0.35 * ((r.h - s.smooth + 540) - 360 * floor((r.h - s.smooth + 540) / 360) - 180) AS x FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1))
+SELECT user_id, event_id, round(smooth + 1e-9, 6) AS smooth FROM s""")
 def x24_heading_average(spark, d):
-    return folds.batch(stream(spark, d).withColumn("heading", F.col("k") * 3.6), folds.Smoothed(0.35), "user_id", ORDER)
+    out = folds.batch(stream(spark, d).withColumn("heading", F.col("k") * 3.6), folds.Smoothed(0.35), "user_id", ORDER)
+    return out.select("user_id", "event_id", F.round(F.col("smooth") + 1e-9, 6).alias("smooth"))
 
 
-@query()
+@query("""WITH RECURSIVE $EV, r AS (SELECT user_id, event_id, t, value / 1e5 AS a, event_type = 'error' AS still, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM ev),
+s(user_id, i, event_id, t, v) AS (SELECT user_id, i, event_id, t, CAST(0 AS DOUBLE) FROM r WHERE i = 1 UNION ALL
+ SELECT r.user_id, r.i, r.event_id, r.t, CASE WHEN r.still THEN 0.0 ELSE greatest(0.0, (s.v + r.a * ((r.t - s.t) / 1e9)) * exp(-1e-5 * ((r.t - s.t) / 1e9))) END FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)
+SELECT user_id, event_id, round(v, 5) AS speed FROM s""")
 def x29_kinematic_baseline(spark, d):
     df = stream(spark, d).withColumns({"a": F.col("value") / 1e5, "still": F.col("event_type") == "error"})
-    return folds.batch(df, folds.Kinematic(1e-5), "user_id", ORDER)
+    return folds.batch(df, folds.Kinematic(1e-5), "user_id", ORDER).select("user_id", "event_id", F.round("speed", 5).alias("speed"))
 
 
-_EDGES = "e AS (SELECT DISTINCT l_suppkey AS source, (l_partkey * 7) % 100 AS target, 1.0 + (l_partkey % 10) AS length FROM lineitem WHERE l_linenumber = 1)"
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS source, (l_partkey * 7) % 100 AS target, 1.0 + (l_partkey % 10) AS length FROM lineitem)"
 
 
 def _edges(spark, d):
-    return table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("source"), ((F.col("l_partkey") * 7) % 100).alias("target"), (1.0 + F.col("l_partkey") % 10).alias("length")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), ((F.col("l_partkey") * 7) % 100).alias("target"), (1.0 + F.col("l_partkey") % 10).alias("length")).distinct()
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, m AS (SELECT source, target, min(length) AS length FROM e GROUP BY 1, 2),
-p(origin, node, far) AS (SELECT DISTINCT source, source, CAST(0.0 AS DOUBLE) FROM m WHERE source < 10 UNION SELECT p.origin, m.target, p.far + m.length FROM p JOIN m ON m.source = p.node WHERE p.far + m.length <= 6)
-SELECT o.s AS source, t.s AS target, b.far AS distance FROM (SELECT s_suppkey AS s FROM supplier WHERE s_suppkey < 10) o, (SELECT s_suppkey AS s FROM supplier WHERE s_suppkey < 100) t LEFT JOIN (SELECT origin, node, min(far) AS far FROM p GROUP BY 1, 2) b ON b.origin = o.s AND b.node = t.s""")
+p(origin, node, far) AS (SELECT DISTINCT source, source, CAST(0.0 AS DOUBLE) FROM m UNION SELECT p.origin, m.target, p.far + m.length FROM p JOIN m ON m.source = p.node WHERE p.far + m.length <= 4),
+q AS (SELECT DISTINCT l_suppkey AS source, (l_partkey * 13) % 100 AS target FROM lineitem)
+SELECT q.source, q.target, min(far) AS distance FROM q LEFT JOIN p ON p.origin = q.source AND p.node = q.target GROUP BY 1, 2""")
 def r1_bounded_shortest_path(spark, d):
-    """From ten origins (the query's own choice of sources) to every node."""
-    s = table(spark, d, "supplier").select("s_suppkey")
-    pairs = s.filter("s_suppkey < 10").select(F.col("s_suppkey").alias("source")).crossJoin(s.filter("s_suppkey < 100").select(F.col("s_suppkey").alias("target")))
-    return graph.shortest(_edges(spark, d), pairs, 6.0)
+    """For every pair of nodes that a line item asks for."""
+    pairs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), ((F.col("l_partkey") * 13) % 100).alias("target")).distinct()
+    return graph.shortest(_edges(spark, d), pairs, 4.0)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN l_partkey % 3 = 0 AND l_tax >= l_discount THEN l_tax - l_discount ELSE 1 - l_discount + l_quantity + l_tax END, 6) AS distance FROM lineitem""")
@@ -139,11 +155,18 @@ def r6_corridor_tiles(spark, d):
     return graph.corridor(p, ["p_brand"], "p_partkey", "x", "y", 2.0, 1.0, 5.0).groupBy("p_brand").agg(F.count("*").alias("tiles"))
 
 
-@query("""WITH $EV, t AS (SELECT user_id, CAST(floor(value / 10) AS BIGINT) AS tile, min(CASE WHEN k > 60 THEN 1 WHEN k > 30 THEN 2 ELSE 3 END) AS pri FROM ev GROUP BY 1, 2) SELECT user_id, tile, CASE pri WHEN 1 THEN 'active' WHEN 2 THEN 'forward' ELSE 'rear' END AS part FROM t""")
+@query("""WITH p AS (SELECT p_brand, p_partkey, p_retailprice / 100 AS x, CAST(p_size AS DOUBLE) AS y, row_number() OVER w AS n, count(*) OVER (PARTITION BY p_brand) AS c FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+z AS (SELECT *, unnest(['active', 'forward', 'rear']) AS part FROM p), u AS (SELECT * FROM z WHERE CASE part WHEN 'active' THEN 3 * n BETWEEN c AND 2 * c WHEN 'forward' THEN 3 * n >= 2 * c ELSE 3 * n <= c END),
+l AS (SELECT *, coalesce(lead(x) OVER w, x) AS x1, coalesce(lead(y) OVER w, y) AS y1 FROM u WINDOW w AS (PARTITION BY p_brand, part ORDER BY p_partkey)),
+n AS (SELECT *, greatest(1, CAST(ceil(sqrt(pow(x1 - x, 2) + pow(y1 - y, 2)) / 2.0) AS INT)) AS m FROM l), k AS (SELECT *, unnest(range(0, m + 1)) AS k FROM n), q AS (SELECT p_brand, part, x + (x1 - x) * k / m AS px, y + (y1 - y) * k / m AS py FROM k),
+t AS (SELECT DISTINCT p_brand, part, i, unnest(range(CAST(floor((py - 1) / 5) AS BIGINT), CAST(floor((py + 1) / 5) AS BIGINT) + 1)) AS j FROM (SELECT p_brand, part, py, unnest(range(CAST(floor((px - 1) / 5) AS BIGINT), CAST(floor((px + 1) / 5) AS BIGINT) + 1)) AS i FROM q))
+SELECT p_brand, i, j, min(part) AS part FROM t GROUP BY 1, 2, 3""")
 def r7_coverage_plan(spark, d):
-    pri = F.min(F.when(F.col("k") > 60, 1).when(F.col("k") > 30, 2).otherwise(3))
-    t = stream(spark, d).groupBy("user_id", F.floor(F.col("value") / 10).alias("tile")).agg(pri.alias("pri"))
-    return t.select("user_id", "tile", F.element_at(F.array(F.lit("active"), F.lit("forward"), F.lit("rear")), F.col("pri")).alias("part"))
+    """Tiles of a route by the first of its parts that touches them: around the vehicle, ahead of it, behind it."""
+    w = Window.partitionBy("p_brand")
+    p = table(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_retailprice") / 100).alias("x"), F.col("p_size").cast("double").alias("y"), F.row_number().over(w.orderBy("p_partkey")).alias("n"), F.count("*").over(w).alias("c"))
+    n, c = F.col("n"), F.col("c")
+    return graph.coverage(p, ["p_brand"], "p_partkey", "x", "y", {"active": (3 * n).between(c, 2 * c), "forward": 3 * n >= 2 * c, "rear": 3 * n <= c}, 2.0, 1.0, 5.0)
 
 
 @query("""WITH $EV, g AS (SELECT unnest(range(-2, 3)) AS i), h AS (SELECT unnest(range(-2, 3)) AS j) SELECT event_id, count(*) AS tiles FROM ev, g, h WHERE round(i * sin(radians(k * 3.6)) + j * cos(radians(k * 3.6)), 9) >= 0 GROUP BY 1""")
@@ -222,17 +245,34 @@ def x6_axis_correlation_matrix(spark, d):
     return wide.unpivot("line", [f"{a}-{b}" for a, b in names], "pair", "r")
 
 
-@query("""SELECT user_id, count(*) AS rows_used, round(avg(value), 5) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 20 GROUP BY 1""")
+@query("""SELECT user_id, count(*) AS rows_used, round(avg(value), 5) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 1000 GROUP BY 1""")
 def x5_mounting_audit(spark, d):
     """The mean over the first rows of each recording, as the operator defines it."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").withColumn("n", F.row_number().over(w)).filter("n <= 20").groupBy("user_id").agg(F.count("*").alias("rows_used"), F.round(F.avg("value"), 5).alias("mean"))
+    return table(spark, d, "events").withColumn("n", F.row_number().over(w)).filter("n <= 1000").groupBy("user_id").agg(F.count("*").alias("rows_used"), F.round(F.avg("value"), 5).alias("mean"))
+
+
+_FOLDS = "a AS (SELECT DISTINCT o_custkey, CASE WHEN o_totalprice > 450000 THEN 3 ELSE o_custkey % 3 END AS fold FROM orders)"
+
+
+def _assigned(spark, d):
+    """A fold assignment with mistakes: some journeys are in two folds."""
+    return table(spark, d, "orders").select("o_custkey", F.when(F.col("o_totalprice") > 450000, 3).otherwise(F.col("o_custkey") % 3).cast("long").alias("fold")).distinct()
+
+
+@query(f"WITH {_FOLDS} SELECT o_custkey, count(*) AS folds, CAST(min(fold) AS BIGINT) AS first_fold FROM a GROUP BY 1 HAVING count(*) > 1")
+def x13_fold_uniqueness(spark, d):
+    """Journeys in more than one fold; an assignment is valid if there are none."""
+    a = _assigned(spark, d)
+    return a.join(schemas.unique(a, ["o_custkey"]), "o_custkey").groupBy("o_custkey").agg(F.max("rows").alias("folds"), F.min("fold").alias("first_fold"))
 
 
-@query("""WITH r AS (SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS top, count(*) AS n FROM orders GROUP BY 1) SELECT n AS folds, count(*) AS journeys FROM r GROUP BY 1""")
-def x13_x14_fold_membership(spark, d):
-    """How many rows each journey brings to its fold."""
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("folds")).groupBy("folds").agg(F.count("*").alias("journeys"))
+@query(f"WITH {_FOLDS}, u AS (SELECT o_custkey, CAST(min(fold) AS BIGINT) AS fold FROM a GROUP BY 1 HAVING count(*) = 1) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, fold FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN u USING (o_custkey)")
+def x14_fold_remapping(spark, d):
+    """Folds of journeys carried over to the finer grain of line items; rows of journeys without one fold are left out."""
+    folds_ = _assigned(spark, d).groupBy("o_custkey").agg(F.min("fold").alias("fold"), F.count("*").alias("n")).filter("n = 1")
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey")).join(folds_, "o_custkey")
+    return table(spark, d, "lineitem").join(o, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "fold")
 
 
 @query("""SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')""")

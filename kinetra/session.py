@@ -57,12 +57,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent (a local test session) a temporary folder is made and removed at exit.
+    Only where the setting is absent in a local session (as in tests) a temporary folder is made and removed at exit; a
+    cluster without the setting is an error, since its executors would not see such a folder.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(context, "_kinetra_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="kinetra-")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetra.functions.scalars import max_speed, one_way
+from kinetra.session import shared_dir
 
 NODES = "node_id string, position_enu_m array<double>, is_intersection boolean, has_traffic_signal boolean"
 SEGMENTS = "edge_id string, start_node_id string, end_node_id string, centerline_enu_m array<array<double>>, allows_forward boolean, allows_reverse boolean, attributes struct<road_class string, source_way_id string, speed_limit_mps double, lane_count int, is_link boolean, is_tunnel boolean, is_bridge boolean, is_roundabout boolean>"
@@ -122,3 +124,16 @@ def report_csv(df: DataFrame, path: str) -> None:
         else:
             cols.append(F.col(name))
     df.select(*cols).write.csv(path, header=True)
+
+
+def write_tiles(df: DataFrame, tile: str) -> DataFrame:
+    """df written as Parquet with a folder for each tile, in the shared folder, and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kinetra-{spark.sparkContext.applicationId}/tiles-{uuid.uuid4().hex[:12]}"
+    df.repartition(tile).write.partitionBy(tile).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tile_manifest(tiles: DataFrame, tile: str, id_: str) -> DataFrame:
+    """tile, rows, first and last id of each tile."""
+    return tiles.groupBy(tile).agg(F.count("*").alias("n"), F.min(id_).alias("first_id"), F.max(id_).alias("last_id"))

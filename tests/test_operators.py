@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinetra import schemas
 from kinetra.functions import geodesy, quaternions, scalars
-from kinetra.operators import folds, graph, joins, splits
+from kinetra.operators import features, folds, graph, joins, splits
 from kinetra.operators import timeseries as ts
 from kinetra.sources import recordings, roads
 
@@ -223,3 +223,111 @@ def test_roads(spark, tmp_path):
     assert {r.problem for r in roads.parse_routes(routes).collect()} == {"point out of range", "no id"}
     roads.report_csv(spark.createDataFrame([(1, ["a", "b"], {"k": 1})], "i int, notes array<string>, m map<string,int>"), str(tmp_path / "r"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).first().notes == "a | b"
+
+
+def run(fold, rows):
+    state, out = fold.rows(fold.initial(), iter(rows))
+    return out + fold.finish(state)
+
+
+def test_calibration_states():
+    m = folds.Calibration(5.0, 3, 100)
+    evidence = [10.0, 11.0, 12.0, None, 40.0, 41.0, 42.0, 41.0, None]
+    times = [0, 10, 20, 30, 40, 50, 60, 70, 300]
+    out = run(m, [{"t": t, "event_id": i, "evidence": e} for i, (t, e) in enumerate(zip(times, evidence, strict=True))])
+    assert [o[1] for o in out] == ["warming", "warming", "tracking", "tracking", "recalibrating", "recalibrating", "tracking", "tracking", "degraded"]
+    assert out[2][2] == pytest.approx(11.0) and out[6][2] == pytest.approx(41.0)
+
+
+def test_orientation_follows_rates_and_gravity():
+    m = folds.Orientation(0.2)
+    still = [{"t": k * 10**8, "event_id": k, "ax": 0.0, "ay": 0.0, "az": 9.80665, "gx": 0.0, "gy": 0.0, "gz": math.pi / 20} for k in range(101)]
+    w, x, y, z = run(m, still)[-1][1:]
+    assert (x, y) == pytest.approx((0, 0), abs=1e-9) and 2 * math.atan2(z, w) == pytest.approx(math.pi / 2, abs=1e-6)
+    tilted = [{**r, "ax": 9.80665 * math.sin(0.3), "az": 9.80665 * math.cos(0.3), "gz": 0.0} for r in still]
+    q = np.array(run(m, tilted)[-1][1:])
+    assert folds._matrix(q).T @ np.array([0, 0, 1.0]) == pytest.approx([math.sin(0.3), 0, math.cos(0.3)], abs=1e-3)
+
+
+def test_route_progress_never_falls_and_penalises_going_back():
+    rows = [([0.0, 50.0], [1.0, 2.0]), ([30.0, 10.0], [5.0, 4.0]), ([60.0, 5.0], [40.0, 1.0]), ([], [])]
+    out = run(folds.RouteProgress(20.0, 100.0), [{"event_id": i, "alongs": a, "offsets": o} for i, (a, o) in enumerate(rows)])
+    assert [o[1] for o in out] == [0.0, 10.0, 10.0, 10.0]
+    out = run(folds.RouteProgress(2.0, 100.0), [{"event_id": i, "alongs": a, "offsets": o} for i, (a, o) in enumerate(rows)])
+    assert [o[1] for o in out] == [0.0, 10.0, 60.0, 60.0]
+
+
+def test_recovery_needs_two_fixes_that_agree():
+    rows = [(0, 0, 0), (5, 1, 1), (40, 500, 0), (41, 900, 0), (42, 910, 0), (43, 911, 0)]
+    out = run(folds.Recovery(15, 80.0), [{"t": t, "event_id": t, "fix": True, "x": x, "y": y} for t, x, y in rows])
+    assert [o[1] for o in out] == ["aided", "aided", "pending", "pending", "reinitialised", "aided"]
+
+
+def test_low_pass_keeps_slow_and_drops_fast():
+    t = np.arange(400) / 10
+    slow, fast = np.sin(2 * np.pi * 0.2 * t), np.sin(2 * np.pi * 4 * t)
+    out = features.low_pass(slow + fast, 10.0, 1.0)
+    assert np.abs(out - slow)[40:-40].max() < 0.02
+    assert features.low_pass(np.full(50, 3.0), 10.0, 2.0) == pytest.approx(np.full(50, 3.0))
+
+
+def test_low_frequency_share(spark):
+    t = np.arange(50) / 10
+    rows = [([float(x) for x in np.sin(2 * np.pi * f * t)],) for f in (1.0, 4.0)] + [([2.0] * 50,), ([float(x) for x in np.sin(2 * np.pi * 1.0 * t) + np.sin(2 * np.pi * 4.0 * t)],)]
+    got = [r.s for r in spark.createDataFrame(rows, "w array<double>").coalesce(1).select(features.low_frequency_share(F.col("w"), 10.0, 3.0).alias("s")).collect()]
+    assert got == pytest.approx([1.0, 0.0, 0.0, 0.5], abs=1e-6)
+
+
+def test_tick_applies_updates_in_order_and_follows_them():
+    m = folds.Tick({"forward": 0.1, "yaw": 0.01, "nhc": 0.1, "road": 1.0, "route": 1.0}, gate=1e9)
+    rows = [{"t": k * 10**8, "event_id": k, "ax": 0.0, "ay": 0.0, "az": 0.0, "gx": 0.0, "gy": 0.0, "gz": 0.0, "forward": 10.0, "yaw": 0.5, "nhc": True, "road_nx": -math.sin(0.5), "road_ny": math.cos(0.5), "road_at": 2.0, "route_nx": None, "route_ny": None, "route_at": None} for k in range(100)]
+    state, out = m.rows(m.initial(), iter(rows))
+    assert out[-1][4] == "propagate,forward,yaw,nhc,road" and out[-1][3] == pytest.approx(10.0, abs=0.2)
+    assert np.array(state["v"][:2]) == pytest.approx([10 * math.cos(0.5), 10 * math.sin(0.5)], abs=0.3)
+    assert -math.sin(0.5) * state["p"][0] + math.cos(0.5) * state["p"][1] == pytest.approx(2.0, abs=0.3)
+    cov = np.array(state["P"])
+    assert np.allclose(cov, cov.T) and np.linalg.eigvalsh(cov).min() > 0
+    rows[5]["forward"], rows[5]["nhc"] = None, False
+    assert m.rows(m.initial(), iter(rows[:6]))[1][-1][4] == "propagate,yaw,road"
+
+
+def test_splits_are_those_of_single_groups(spark, monkeypatch):
+    """Greedy assignments and random holdouts against plain Python over the groups themselves."""
+    rng = np.random.default_rng(1)
+    rows = [(f"g{int(g):03}", float(v)) for g, v in zip(np.minimum(rng.geometric(0.05, 1500), 60), rng.normal(10, 3, 1500), strict=True)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    sizes, sums, squares = {}, {}, {}
+    for g, v in rows:
+        sizes[g], sums[g], squares[g] = sizes.get(g, 0) + 1, sums.get(g, 0) + v, squares.get(g, 0) + v * v
+    names = sorted(sizes)
+    tie = {names[i]: rank for rank, i in enumerate(np.random.default_rng(42).permutation(len(names)))}
+    load, count, fold = [0] * 4, [0] * 4, {}
+    for g in sorted(names, key=lambda g: (-sizes[g], tie[g])):
+        k = min(range(4), key=lambda k: (load[k], count[k], k))
+        fold[g], load[k], count[k] = k, load[k] + sizes[g], count[k] + 1
+    assert {r.g: r.fold for r in splits.balanced_folds(df, "g", 4).select("g", "fold").distinct().collect()} == fold
+    shares, held, split = {"a": 0.7, "b": 0.3}, {"a": 0, "b": 0}, {}
+    for g in sorted(names, key=lambda g: -sizes[g]):
+        split[g] = max(shares, key=lambda s: shares[s] * len(rows) - held[s])
+        held[split[g]] += sizes[g]
+    assert {r.g: r.split for r in splits.deficit_split(df, "g", shares).select("g", "split").distinct().collect()} == split
+    even, where = np.zeros((3, 2)), {}
+    whole = np.array([len(rows), sum(sums.values())])
+    for g in sorted(names, key=lambda g: -sizes[g]):
+        mine = np.array([sizes[g], sums[g]])
+        where[g] = int(np.argmin([(((even[f] + mine) / whole) ** 2).sum() - ((even[f] / whole) ** 2).sum() for f in range(3)]))
+        even[where[g]] += mine
+    assert {r.g: r.fold for r in splits.descriptor_folds(df, "g", "v", 3).select("g", "fold").distinct().collect()} == where
+    picks = np.random.default_rng(42)
+    v, best = np.array([x for _, x in rows]), (np.inf, None)
+    for _ in range(60):
+        chosen = {g for g, p in zip(names, picks.random(len(names)) < 0.2, strict=True) if p}
+        inside = np.array([g in chosen for g, _ in rows])
+        if inside.any() and not inside.all():
+            score = abs(inside.mean() - 0.2) / 0.2 + (abs(v[inside].mean() - v.mean()) + abs(v[inside].std() - v.std())) / v.std()
+            best = min(best, (score, tuple(sorted(chosen))))
+    got = splits.best_holdout(df, "g", "v", 0.2, 60).filter("held_out").select("g").distinct().collect()
+    assert tuple(sorted(r.g for r in got)) == best[1]
+    monkeypatch.setattr(splits, "GROUPS", 10)
+    bundled = splits.balanced_folds(df, "g", 4).groupBy("g").agg(F.countDistinct("fold").alias("n"))
+    assert {r.n for r in bundled.collect()} == {1}
