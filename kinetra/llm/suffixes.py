@@ -16,6 +16,10 @@ The suffixes of a corpus do not fit one machine, so they are dealt out by conten
    (positions in corpus order) give its longest previous factor, and starts whose factor reaches SPAN are removed.
    An anchor with more than HOT contexts is split: its starts go one by one, keyed by the hash of their SPAN bytes.
 
+Anchors that a great many documents have in different contexts (of a common line, say) are known before pieces meet: a
+first scan counts contexts by buffers of BUFFER_PIECES pieces, and anchors that reach LOCAL in some and HOT in all are
+dealt by anchor and context. Any other anchor has fewer than LOCAL contexts for each buffer of the corpus.
+
 Defined results: a null text is empty and loses nothing; texts shorter than SPAN bytes lose nothing; rows with equal
 doc_id and text are the same document given twice, each gets that document's result; different texts under one doc_id
 are ordered by their hash; very long texts are scanned in overlapping parts; an empty table gives no rows.
@@ -39,6 +43,8 @@ from kinetra.session import durable
 SPAN = 100
 GRAM = 24
 HOT = 4096
+LOCAL = 16
+SALTS = 256
 CHUNK_BYTES = 512 << 10
 PART_BYTES = 1 << 20
 BUFFER_PIECES = 400_000
@@ -157,25 +163,48 @@ def _batch(columns: list[np.ndarray], extra: dict[str, pa.Array] | None = None)
     return pa.RecordBatch.from_arrays([*arrays, *(extra or {}).values()], names=[*_PIECE, *(extra or {})])
 
 
+def _buffers(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[list[np.ndarray]]:
+    """Key, context, doc_id, tag, lo and n of all pieces, about BUFFER_PIECES at once."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        doc, tag = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+        for row, at, part, own in _parts(data, offsets, span):
+            lo, count, anchor, context = pieces(part, own, span)
+            if len(lo):
+                r = np.searchsorted(own, lo, "right") - 1
+                held.append([anchor, context, doc[row + r], tag[row + r], lo - own[r] + at, count])
+                size += len(lo)
+        if size > BUFFER_PIECES:
+            yield list(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield list(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _scan(span: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            doc, tag = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
-            for row, at, part, own in _parts(data, offsets, span):
-                lo, count, anchor, context = pieces(part, own, span)
-                if len(lo):
-                    r = np.searchsorted(own, lo, "right") - 1
-                    held.append([anchor, context, doc[row + r], tag[row + r], lo - own[r] + at, count])
-                    size += len(lo)
-            if size > BUFFER_PIECES:
-                yield _batch(_settled(*map(np.concatenate, zip(*held, strict=True)))[0])
-                held, size = [], 0
-        if held:
-            yield _batch(_settled(*map(np.concatenate, zip(*held, strict=True)))[0])
+        for buffer in _buffers(batches, span):
+            yield _batch(_settled(*buffer)[0])
+
+    return run
+
+
+def _frequent(span: int, local: int):
+    """(key, contexts) of anchors with at least local contexts in a buffer."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, context, *_ in _buffers(batches, span):
+            order = np.lexsort((context, key))
+            k, c = key[order], context[order]
+            fresh = np.ones(len(k), bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            keys, n = np.unique(k[fresh], return_counts=True)
+            often = n >= local
+            yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["key", "contexts"])
 
     return run
 
@@ -334,11 +363,15 @@ def removals(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scanned = docs.mapInArrow(_scan(span), "key bigint, context bigint, doc_id bigint, tag bigint, lo int, n int, seen boolean")
-    met = scanned.repartition(parts, "key")
-    same = Window.partitionBy("key", "context", "seen").orderBy("doc_id", "tag", "lo")
+    counts = docs.mapInArrow(_frequent(span, LOCAL), "key bigint, contexts bigint").groupBy("key").agg(F.sum("contexts").alias("n")).filter(F.col("n") > hot)
+    frequent = durable(counts.select("key", F.lit(True).alias("frequent")), "frequent")
+    salt = F.when(F.col("frequent"), F.pmod(F.col("context"), F.lit(SALTS))).otherwise(0).cast("int")
+    met = scanned.join(frequent, "key", "left").withColumn("salt", salt).repartition(parts, "key", "salt")
+    same = Window.partitionBy("key", "salt", "context", "seen").orderBy("doc_id", "tag", "lo")
     met = met.withColumn("_rank", F.rank().over(same))
     first = (F.col("_rank") == 1) & ~F.col("seen")
-    met = met.withColumn("group", F.sum(first.cast("int")).over(Window.partitionBy("key")))
+    here = F.sum(first.cast("int")).over(Window.partitionBy("key", "salt"))
+    met = met.withColumn("group", F.when(F.col("frequent"), F.lit(hot + 1)).otherwise(here))
     gone = F.col("seen") | (F.col("_rank") > 1)
     found = met.select("key", "doc_id", "tag", "lo", "n", F.col("group").cast("int").alias("group"), gone.alias("gone")).filter(F.col("gone") | (F.col("group") > 1))
     found = durable(found, "repeats")

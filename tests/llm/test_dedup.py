@@ -84,9 +84,10 @@ def removed(rows, span):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_repeats(docs, rows, nothing, hot, monkeypatch):
+@pytest.mark.parametrize("hot, local", [(4096, 16), (1, 16), (1, 1), (2, 2)])
+def test_repeats(docs, rows, nothing, hot, local, monkeypatch):
     monkeypatch.setattr(suffixes, "PART_BYTES", 4000)
+    monkeypatch.setattr(suffixes, "LOCAL", local)
     got = {r.doc_id: tuple(r)[1:] for r in suffixes.deduplicate(docs, digest=True, hot=hot).collect()}
     assert got == removed(rows, 100)
     assert suffixes.digest(nothing).count() == 0
