@@ -161,6 +161,10 @@ def test_exact_top_k(spark, block, monkeypatch):
         expected += [(i, k + 1, j, int(s[j])) for k, j in enumerate(order)]
     assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(expected)
     assert topk.top_k(df.limit(0)).count() == 0
+    # Other lengths are searched by themselves; empty vectors score 0.
+    other = [(5000, [1.0, 2.0], "e"), (5001, [3.0, 1.0], "e"), (5002, [1.0], "e"), (6000, [], "e"), (6001, [], "e")]
+    more = df.unionByName(spark.createDataFrame(other, df.schema))
+    assert sorted(map(tuple, topk.top_k(more).collect())) == sorted([*expected, (5000, 1, 5001, 256 * 256 * 5), (6000, 1, 6001, 0)])
 
 
 def page(n, body):
