@@ -76,6 +76,16 @@ def coverage(points: DataFrame, key: list[str], order: str, x: str, y: str, part
     return first.select(*key, "i", "j", F.element_at(F.array(*map(F.lit, names)), F.col("_part") + 1).alias("part"))
 
 
+def ahead(df: DataFrame, heading: Column, reach: Column, half_width: float, most: int) -> DataFrame:
+    """df with a row for each tile (i east, j north of the row's own, most away at most) in a box that is turned with the
+    heading (clockwise from north): reach ahead, half_width to either side, nothing behind."""
+    grid = F.array(*[F.lit(i) for i in range(-most, most + 1)])
+    df = df.withColumn("_h", heading).withColumn("_reach", reach).withColumn("i", F.explode(grid)).withColumn("j", F.explode(grid))
+    dot = F.round(F.col("i") * F.sin("_h") + F.col("j") * F.cos("_h"), 9)
+    beside = F.round(F.col("i") * F.cos("_h") - F.col("j") * F.sin("_h"), 9)
+    return df.filter(dot.between(0, F.col("_reach")) & (F.abs(beside) <= half_width)).drop("_h", "_reach")
+
+
 def soft_match(distance: Column, heading: Column, sigma: float, continues: Column, connected: Column, on_route: Column) -> Column:
     """Score of a candidate road: Gaussian in distance, cosine of heading, and factors for continuity, topology, route."""
     bonus = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(1.0))

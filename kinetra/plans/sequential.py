@@ -169,13 +169,13 @@ def r7_coverage_plan(spark, d):
     return graph.coverage(p, ["p_brand"], "p_partkey", "x", "y", {"active": (3 * n).between(c, 2 * c), "forward": 3 * n >= 2 * c, "rear": 3 * n <= c}, 2.0, 1.0, 5.0)
 
 
-@query("""WITH $EV, g AS (SELECT unnest(range(-2, 3)) AS i), h AS (SELECT unnest(range(-2, 3)) AS j) SELECT event_id, count(*) AS tiles FROM ev, g, h WHERE round(i * sin(radians(k * 3.6)) + j * cos(radians(k * 3.6)), 9) >= 0 GROUP BY 1""")
-def r8_free_drive_half_plane(spark, d):
-    """Tiles of a 5 x 5 patch in the half plane ahead of the heading."""
-    grid = F.array(*[F.lit(i) for i in range(-2, 3)])
-    df = stream(spark, d).withColumn("i", F.explode(grid)).withColumn("j", F.explode(grid))
-    h = F.radians(F.col("k") * 3.6)
-    return df.filter(F.round(F.col("i") * F.sin(h) + F.col("j") * F.cos(h), 9) >= 0).groupBy("event_id").agg(F.count("*").alias("tiles"))
+@query("""WITH $EV, g AS (SELECT unnest(range(-6, 7)) AS i), h AS (SELECT unnest(range(-6, 7)) AS j), p AS (SELECT event_id, i, j, round(i * sin(radians(k * 3.6)) + j * cos(radians(k * 3.6)), 9) AS ahead, round(i * cos(radians(k * 3.6)) - j * sin(radians(k * 3.6)), 9) AS beside, greatest(1.0, least(5.0, value / 20)) AS reach FROM ev, g, h)
+SELECT event_id, count(*) AS tiles, min(i) AS west, max(i) AS east, min(j) AS south, max(j) AS north FROM p WHERE ahead BETWEEN 0 AND reach AND abs(beside) <= 1.5 GROUP BY 1""")
+def r8_free_drive_plan(spark, d):
+    """Tiles of a box turned with the heading that reaches farther at speed: the half plane ahead, by the dot product."""
+    df = stream(spark, d).withColumn("reach", F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.col("value") / 20)))
+    t = graph.ahead(df, F.radians(F.col("k") * 3.6), F.col("reach"), 1.5, 6)
+    return t.groupBy("event_id").agg(F.count("*").alias("tiles"), *[f(c).cast("long").alias(n) for n, f, c in (("west", F.min, "i"), ("east", F.max, "i"), ("south", F.min, "j"), ("north", F.max, "j"))])
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, exp(-0.5 * pow(l_quantity / 25, 2)) * greatest(0.0, cos(l_discount * 10)) * (CASE WHEN l_linestatus = 'F' THEN 1.4 ELSE 1.0 END) * (CASE WHEN l_returnflag = 'A' THEN 1.3 ELSE 1.0 END) * (CASE WHEN l_tax > 0.04 THEN 1.5 ELSE 1.0 END) AS s FROM lineitem)
