@@ -42,18 +42,24 @@ def pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return phone.join(vehicle, "id"), lonely
 
 
-def aligned_journey(spark: SparkSession, folder: str, journey: str, tolerance_ms: int = 75) -> DataFrame:
+def aligned_journey(spark: SparkSession, folder: str, journey: str, tolerance_ms: int = 75, clock: str = "elapsed") -> DataFrame:
     """One journey: phone rows with the nearest vehicle row in time, within tolerance; incomplete rows are dropped.
 
     Rows without a parsable time or a required number go, duplicates keep the first, both sides count nanoseconds from
-    their own first row.
+    their own first row. clock: the phone's time is its elapsed milliseconds, or its dates (with the speed of its GPS,
+    whose numbers are metres a second whatever the header says).
     """
     s, v = read_csv(spark, f"{folder}/S-{journey}.csv"), read_csv(spark, f"{folder}/V-{journey}.csv")
+    if clock == "date":
+        dates = F.try_to_timestamp(F.col(f"`{find_column(s.columns, 'date')}`"), F.lit("yyyy-MM-dd HH:mm:ss:SSS"))
+        time, more = F.unix_micros(dates) * 1000, [number(s, "gps speed").alias("gps_speed")]
+    else:
+        time, more = (number(s, "time since start") * 1_000_000).cast("long"), []
     phone = s.select(
-        (number(s, "time since start") * 1_000_000).cast("long").alias("t"),
+        time.alias("t"),
         *[number(s, "accelerometer", f" {a}").alias(f"a{a}") for a in "xyz"],
         *[number(s, "gyroscope", n).alias(f"g{a}") for n, a in (("roll", "x"), ("pitch", "y"), ("yaw", "z"))],
-        number(s, "gps", "latitude").alias("lat"), number(s, "gps", "longitude").alias("lon"),
+        number(s, "gps", "latitude").alias("lat"), number(s, "gps", "longitude").alias("lon"), *more,
     )
     car = v.select((number(v, "since start of day") * 1_000_000_000).cast("long").alias("t"), (number(v, "indicated", "speed") / 3.6).alias("speed"), number(v, "latitude").alias("ref_lat"), number(v, "longitude").alias("ref_lon"))
     out = []

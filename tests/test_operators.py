@@ -15,7 +15,7 @@ from kinetra import schemas
 from kinetra.functions import geodesy, quaternions, scalars
 from kinetra.operators import features, folds, graph, joins, splits
 from kinetra.operators import timeseries as ts
-from kinetra.sources import recordings, roads
+from kinetra.sources import recordings, roads, tables
 
 
 def one(spark, column):
@@ -331,3 +331,28 @@ def test_splits_are_those_of_single_groups(spark, monkeypatch):
     monkeypatch.setattr(splits, "GROUPS", 10)
     bundled = splits.balanced_folds(df, "g", 4).groupBy("g").agg(F.countDistinct("fold").alias("n"))
     assert {r.n for r in bundled.collect()} == {1}
+
+
+def test_journey_by_dates(spark, tmp_path):
+    s = "DATE (YYYY-MO-DD HH-MI-SS_SSS),ACCELEROMETER X (m/s²),ACCELEROMETER Y (m/s²),ACCELEROMETER Z (m/s²),GYROSCOPE Roll (rad/s),GYROSCOPE Pitch (rad/s),GYROSCOPE Yaw (rad/s),GPS LATITUDE,GPS LONGITUDE,GPS SPEED (Kmh)\n"
+    s += "".join(f"2020-01-02 03:04:{t},0,0,9.8,0,0,0,52,-1,7\n" for t in ("05:000", "05:100", "05:100", "06:500")) + "no date,0,0,9.8,0,0,0,52,-1,7\n"
+    v = "Time Since Start of Day (seconds),Indicated Vehicle Speed (km/hr),Latitude (degrees),Longitude (degrees)\n" + "".join(f"{t},36,52,-1\n" for t in (50.0, 50.175, 50.2))
+    (tmp_path / "S-j1.csv").write_bytes(s.encode("cp1252"))
+    (tmp_path / "V-j1.csv").write_bytes(v.encode("cp1252"))
+    got = sorted((r.t // 10**6, r.speed, r.gps_speed) for r in recordings.aligned_journey(spark, str(tmp_path), "j1", clock="date").collect())
+    assert got == [(0, 10.0, 7.0), (100, 10.0, 7.0)]
+
+
+def test_clean_tables_windows_and_fixtures(spark, tmp_path):
+    df = spark.createDataFrame([("a", i * 10**8, float(i), -float(i)) for i in range(5)] + [("b", 7 * 10**9, 1.5, None)], "s string, t long, x double, y double")
+    schema = "s string, t long, x double, y double"
+    for kind in ("csv", "parquet"):
+        tables.write_clean(df, str(tmp_path / "clean"), kind)
+        assert sorted(map(tuple, tables.read_clean(spark, str(tmp_path / "clean"), schema).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    w = ts.count_windows(df.filter("s = 'a'"), ["s"], ["t"], ["x"], 3)
+    tables.write_windows(w.select("t", "x_window"), str(tmp_path / "windows"))
+    assert [r.x_window for r in spark.read.parquet(str(tmp_path / "windows")).orderBy("t").collect()] == [[0.0, 1.0, 2.0], [1.0, 2.0, 3.0], [2.0, 3.0, 4.0]]
+    with pytest.raises(ValueError):
+        tables.write_windows(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "x array<double>"), str(tmp_path / "bad"))
+    got = [(r.s, json.loads(r.record)) for r in tables.fixtures(df, "s", "t", 2, {"accel": ["x", "y"]}).orderBy("s", "index").collect()]
+    assert got[1] == ("a", {"index": 1, "relative_time_ms": 100.0, "accel": {"x": 1.0, "y": -1.0}}) and len(got) == 3 and got[2][1]["accel"] == {"x": 1.5}
