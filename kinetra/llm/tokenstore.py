@@ -21,8 +21,8 @@ ranges of doc_id, at most RANGES of them (at most that many numbers reach the dr
 shards of about SHARD_BYTES.
 
 Defined results: a null or empty text is a document with the end id only; rows with equal doc_id lie next to each
-other, ordered by their ids; rows without doc_id have no place in that order and are left out; an empty table makes a
-store without shards; other columns are ignored.
+other, ordered by their ids; rows without doc_id come first, in shards of their own (NAMELESS ranges by content) that no lookup
+finds; an empty table makes a store without shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +49,7 @@ DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 8 << 20
 RANGES = 4096
 RANGE_ROWS = 1000
+NAMELESS = 64
 LEVEL = 3
 
 
@@ -113,9 +114,11 @@ def _compressed(path: str, end_id: int, dictionary: bytes, bounds: np.ndarray):
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             raw = [enc.encode(t or "") + end for t in batch.column("text").to_pylist()]
-            part = np.searchsorted(bounds, batch.column("doc_id").to_numpy(), "right").astype(np.int32)
+            ids = batch.column("doc_id")
+            other = np.array([-1 - zlib.crc32(r) % NAMELESS for r in raw], np.int64)
+            part = np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(bounds, ids.fill_null(0).to_numpy(), "right"), other).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), batch.column("doc_id"), pa.array([len(r) // enc.dtype.itemsize for r in raw], pa.int64()), pa.array([pack.compress(r) for r in raw], pa.binary())],
+                [pa.array(part), ids, pa.array([len(r) // enc.dtype.itemsize for r in raw], pa.int64()), pa.array([pack.compress(r) for r in raw], pa.binary())],
                 names=["part", "doc_id", "n", "frame"],
             )
 
@@ -129,7 +132,7 @@ def _shards(dictionary_hash: bytes, width: int):
 
         def shard() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([ids[0]], pa.int64()), pa.array([ids[-1]], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([payload(ids, counts, frames, dictionary_hash, width)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([ids[0]], pa.int64()), pa.array([ids[-1]], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([payload([i or 0 for i in ids], counts, frames, dictionary_hash, width)], pa.binary())],
                 names=["part", "number", "first_doc", "last_doc", "n_tokens", "payload"],
             )
 
@@ -153,13 +156,13 @@ def _shards(dictionary_hash: bytes, width: int):
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode docs (doc_id, text) into a store at path."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    docs = docs.select("doc_id", "text")
     rows = docs.select("doc_id").count()
     ranges = max(1, min(RANGES, -(-rows // RANGE_ROWS)))
     inner = [k / ranges for k in range(1, ranges)]
     bounds = np.array(docs.stat.approxQuantile("doc_id", inner, 0.25 / ranges) if inner else [], np.float64).astype(np.int64)
     enc = tokens.encoder(tokenizer)
-    chosen = docs.select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(SAMPLE)
+    chosen = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(SAMPLE)
     sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"))
     end = np.array([end_id], enc.dtype).tobytes()
     dictionary = train(sorted(enc.encode(r.text or "") + end for r in sample.toLocalIterator()))
@@ -174,10 +177,10 @@ def _read(dictionary: bytes, with_ids: bool):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for before, raw in zip(batch.column("before").to_pylist(), batch.column("payload"), strict=True):
+            for before, named, raw in zip(batch.column("before").to_pylist(), batch.column("named").to_pylist(), batch.column("payload"), strict=True):
                 shard = Shard(raw.as_py(), dictionary)
                 wide = [shard.ids(k).astype("<u4").tobytes() for k in range(len(shard))]
-                columns = [pa.array(shard.doc_ids), pa.array(shard.tokens[:-1] + before), pa.array(np.diff(shard.tokens)), pa.array([zlib.crc32(w) for w in wide], pa.int64())]
+                columns = [pa.array(shard.doc_ids) if named else pa.nulls(len(shard), pa.int64()), pa.array(shard.tokens[:-1] + before), pa.array(np.diff(shard.tokens)), pa.array([zlib.crc32(w) for w in wide], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     columns.append(pa.array(wide, pa.binary()))
@@ -198,7 +201,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     inner = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     index = shards.select("part", "number", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("_inner")).join(ranges, "part")
     index = index.select("part", "number", (F.col("_base") + F.col("_inner")).alias("before"))
-    placed = shards.select("part", "number", "payload").join(F.broadcast(index), ["part", "number"]).select("before", "payload")
+    placed = shards.select("part", "number", "payload").join(F.broadcast(index), ["part", "number"]).select("before", (F.col("part") >= 0).alias("named"), "payload")
     return placed.mapInArrow(_read(dictionary, with_ids), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 

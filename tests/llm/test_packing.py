@@ -100,6 +100,38 @@ def test_plan_packs_each_length_as_often_as_it_occurs(counts):
     assert used == counts and len(patterns) <= 4 * len(counts) + 4
 
 
+def best_two_fit(items, capacity):
+    """Piece by piece: fill with the largest that fits, then put two pieces where the smallest was if they fill its gap better."""
+    items, bins = sorted(items, reverse=True), []
+    while items:
+        taken, room = [], capacity
+        for x in list(items):
+            if x <= room:
+                items.remove(x)
+                taken.append(x)
+                room -= x
+        if room:
+            small, gap = taken[-1], room + taken[-1]
+            free = sorted([*items, small])
+            pairs = [(gap - x - y, x, y) for i, x in enumerate(free) for y in free[i + 1 :] if x + y <= gap]
+            if pairs and min(pairs)[0] < room:
+                _, x, y = min(pairs)
+                taken[-1:] = [x, y]
+                free.remove(x)
+                free.remove(y)
+                items = free[::-1]
+        bins.append(sorted(taken, reverse=True))
+    return sorted(bins)
+
+
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_plan_is_best_two_fit_piece_by_piece(items):
+    counts = {n: items.count(n) for n in set(items)}
+    found = [sorted(lengths, reverse=True) for lengths, times in packing.plan(counts, 30) for _ in range(times)]
+    assert sorted(found) == best_two_fit(items, 30)
+
+
 def test_packing(docs, rows, nothing):
     got = packing.pack_documents(docs, PATH, with_ids=True).collect()
     places = defaultdict(list)
@@ -138,6 +170,14 @@ def test_token_store(spark, docs, rows, nothing, tmp_path):
         at += len(own)
     assert tokenstore.lookup(spark, path, 4).tolist() == [*ids(dict(rows)[4]), 2]
     assert tokenstore.lookup(spark, path, 5000) is None
+    more = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(None, rows[0][1]), (None, None), (None, rows[0][1])], "doc_id long, text string"))
+    tokenstore.write(more, f"file://{tmp_path}/nameless", PATH)
+    again = sorted(tokenstore.read(spark, f"file://{tmp_path}/nameless").collect(), key=lambda r: r.start)
+    first = [(r.doc_id, r.n_tokens) for r in again[:3]]
+    assert sorted(n for _, n in first) == [1, len(ids(rows[0][1])) + 1, len(ids(rows[0][1])) + 1] and {d for d, _ in first} == {None}
+    base = sum(n for _, n in first)
+    assert [(r.doc_id, r.start - base, r.n_tokens, r.ids_crc32) for r in again[3:]] == [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got]
+    assert tokenstore.lookup(spark, f"file://{tmp_path}/nameless", 4).tolist() == [*ids(dict(rows)[4]), 2]
     tokenstore.write(nothing, f"file://{tmp_path}/empty", PATH)
     assert tokenstore.read(spark, f"file://{tmp_path}/empty").count() == 0
     with pytest.raises(ValueError):
