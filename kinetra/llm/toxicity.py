@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kinetra.llm import labelled
 from kinetra.llm.words import Words, chunks, utf8, words_of
-from kinetra.llm.workers import lean
+from kinetra.llm.workers import lean, trim
 
 #: Common English insults.
 SEEDS = ["clown", "disgusting", "dumb", "freak", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
@@ -48,6 +48,8 @@ ANNOTATOR = 0.98
 #: At most so many unlabelled documents fit the label model: those with the least hash of doc_id.
 UNLABELLED = 12000
 CORRELATED = 0.5
+#: Rows that the driver's sums take at once.
+ROWS = 2048
 
 
 def _features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -121,7 +123,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12, first: np
     gold: 1, 0 or -1 (no label); first: where there is no gold, the beliefs to start from. Votes and absent votes count;
     a voter's share of its weight falls with its correlations within the classes.
     """
-    v, known = votes.astype(np.float64), gold >= 0
+    v, known = votes.astype(np.float32), gold >= 0
     trusted = np.where(gold == 1, ANNOTATOR, 1 - ANNOTATOR)
     belief = np.where(known, trusted, 0.0) if known.any() else np.asarray(first, np.float64)
     weight = known.astype(np.float64) if known.any() else np.ones(len(v))
@@ -130,9 +132,13 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12, first: np
         b, c = belief * weight, (1 - belief) * weight
         yes = np.clip((b @ v + 0.1) / (b.sum() + 1), 1e-5, 1 - 1e-5)
         no = np.clip((c @ v + 0.1) / (c.sum() + 1), 1e-5, 1 - 1e-5)
-        left = (v - np.outer(belief, yes) - np.outer(1 - belief, no)) * np.sqrt(weight)[:, None]
-        scale = np.sqrt((left**2).sum(0)) + 1e-9
-        together = (left.T @ left) / np.outer(scale, scale)
+        together = np.zeros((v.shape[1], v.shape[1]))
+        for a in range(0, len(v), ROWS):
+            some = slice(a, a + ROWS)
+            left = (v[some] - np.outer(belief[some], yes) - np.outer(1 - belief[some], no)) * np.sqrt(weight[some])[:, None]
+            together += left.T @ left
+        scale = np.sqrt(np.diag(together)) + 1e-9
+        together /= np.outer(scale, scale)
         np.fill_diagonal(together, 0)
         share = 1 / (1 + np.where(together > CORRELATED, together, 0).sum(1))
         absent = share * np.log((1 - yes) / (1 - no))
@@ -149,13 +155,18 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12, first: np
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression on soft targets, by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))])
-    penalty = np.full(x.shape[1], ridge)
+    k = x.shape[1]
+    penalty = np.full(k + 1, ridge)
     penalty[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(k + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (target - p) - penalty * w)
+        curve, slope = np.diag(penalty), -penalty * w
+        for a in range(0, len(x), ROWS):
+            some = np.column_stack([x[a : a + ROWS], np.ones(len(x[a : a + ROWS]))]).astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(some @ w, -30, 30)))
+            curve += (some.T * (p * (1 - p))) @ some
+            slope += some.T @ (target[a : a + ROWS] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -205,13 +216,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = labelled.SAMPLE, folds
         return Model(voters, weights, -2.0, {})
     got.sort(key=lambda r: (r.doc_id, r.y))
     votes = np.stack([np.unpackbits(np.frombuffer(bytes(r.votes), np.uint8), count=voters.count) for r in got]).astype(bool)
-    x = np.column_stack([votes, np.stack([np.frombuffer(bytes(r.more)) for r in got])])
+    x = np.column_stack([votes, np.stack([np.frombuffer(bytes(r.more)) for r in got]).astype(np.float32)])
     gold = np.array([r.y for r in got])
     if len(totals) < 2:
         gold[:] = -1
     seeds = np.where(votes[:, : len(SEEDS)].any(1), 0.9, 0.02)
     posterior, model = label_model(votes, gold, first=seeds)
     weights, intercept = logistic(x, posterior)
+    del got, votes, x
+    trim()  # of the driver
     return Model(voters, weights, intercept, model)
 
 
