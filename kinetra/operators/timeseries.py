@@ -50,8 +50,8 @@ def streaks(df: DataFrame, key: list[str], order: list[str], holds: Column) -> D
 def asof(left: DataFrame, right: DataFrame, key: list[str], t: str, values: list[str], direction: str = "nearest", tolerance: int | None = None) -> DataFrame:
     """left with the values (and matched time, as right_t) of the right row that is nearest in time, or null.
 
-    direction: backward, forward or nearest; ties of nearest go backward; exact matches count. Right rows of equal time
-    must be unique (keep one with keep_first). A union and two window scans over one partitioning by key, linear in the
+    direction: backward, forward or nearest; ties of nearest go backward; exact matches count; of right rows of equal
+    time the least values match (keep_first chooses others). A union and two window scans over one partitioning by key, linear in the
     rows of a key, where a range join would compare all pairs.
     """
     held = F.struct(F.col(t).alias("t"), *[F.col(v) for v in values])
@@ -60,8 +60,8 @@ def asof(left: DataFrame, right: DataFrame, key: list[str], t: str, values: list
     b = right.select(*key, F.col(t), *[F.lit(None).cast(kinds[c]).alias(c) for c in left.columns if c not in (*key, t)], F.lit(1).alias("_side"), held.alias("_right"))
     both = a.unionByName(b)
     # Right rows sort before left rows of the same time backward, and after them forward.
-    back = Window.partitionBy(*key).orderBy(F.col(t), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*key).orderBy(F.col(t), F.asc("_side")).rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*key).orderBy(F.col(t), F.desc("_side"), F.desc("_right")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*key).orderBy(F.col(t), F.asc("_side"), F.asc("_right")).rowsBetween(0, Window.unboundedFollowing)
     none = F.lit(None).cast(b.schema["_right"].dataType)
     both = both.withColumn("_back", F.last("_right", ignorenulls=True).over(back) if direction != "forward" else none)
     both = both.withColumn("_ahead", F.first("_right", ignorenulls=True).over(ahead) if direction != "backward" else none)

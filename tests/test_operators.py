@@ -356,3 +356,10 @@ def test_clean_tables_windows_and_fixtures(spark, tmp_path):
         tables.write_windows(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "x array<double>"), str(tmp_path / "bad"))
     got = [(r.s, json.loads(r.record)) for r in tables.fixtures(df, "s", "t", 2, {"accel": ["x", "y"]}).orderBy("s", "index").collect()]
     assert got[1] == ("a", {"index": 1, "relative_time_ms": 100.0, "accel": {"x": 1.0, "y": -1.0}}) and len(got) == 3 and got[2][1]["accel"] == {"x": 1.5}
+
+
+def test_asof_of_equal_right_times_takes_the_least_values(spark):
+    left = spark.createDataFrame([(1, 5), (1, 10), (1, 20)], "k int, t long")
+    right = spark.createDataFrame([(1, 10, v) for v in (3.0, 1.0, 2.0)] * 2, "k int, t long, v double").repartition(4)
+    for direction, expected in (("backward", [None, 1.0, 1.0]), ("forward", [1.0, 1.0, None]), ("nearest", [1.0, 1.0, 1.0])):
+        assert [r.v for r in ts.asof(left, right, ["k"], "t", ["v"], direction).orderBy("t").collect()] == expected
