@@ -49,6 +49,29 @@ def load_tiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TILE).option("multiLine", "true").json(path)
 
 
+BOUNDS = "struct<minLat: double, maxLat: double, minLon: double, maxLon: double>"
+PACK = f"id string, bbox {BOUNDS}, tileScheme string, tiles array<struct<key: struct<scheme: string, key: string>, fileName: string, bounds: {BOUNDS}, segmentCount: int, nodeCount: int>>"
+
+
+def load_pack(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(tiles, problems) of a region pack: a manifest and the tile files it lists.
+
+    tiles are those without a problem. Problems (tile, problem): a listed tile without file, a file that is not listed,
+    another scheme than the pack's, other numbers of segments or nodes than listed, bounds beyond those of the pack.
+    """
+    listed = spark.read.schema(PACK).option("multiLine", "true").json(f"{folder}/manifest.json").select("bbox", "tileScheme", F.explode("tiles").alias("m"))
+    listed = listed.select(F.col("m.key.key").alias("tile"), F.lit(True).alias("_listed"), "bbox", "tileScheme", "m.segmentCount", "m.nodeCount")
+    found = load_tiles(spark, f"{folder}/tiles").withColumn("tile", F.col("key.key"))
+    j = listed.join(found, "tile", "full_outer")
+    beyond = F.lit(False)
+    for side in ("Lat", "Lon"):
+        beyond = beyond | (F.col(f"bounds.max{side}") < F.col(f"bbox.min{side}")) | (F.col(f"bounds.min{side}") > F.col(f"bbox.max{side}"))
+    why = F.when(F.col("key").isNull(), "no file").when(F.col("_listed").isNull(), "not listed").when(F.col("key.scheme") != F.col("tileScheme"), "scheme")
+    why = why.when(F.size("segments") != F.col("segmentCount"), "segments").when(F.size("nodes") != F.col("nodeCount"), "nodes").when(beyond, "bounds")
+    j = j.withColumn("problem", why)
+    return j.filter("problem is null").select(*found.columns), j.filter("problem is not null").select("tile", "problem")
+
+
 def tile_segments(tiles: DataFrame) -> DataFrame:
     """The bridge of tiles and segments: a segment may lie in several tiles."""
     return tiles.select(F.col("key.key").alias("tile"), F.explode("segments").alias("s")).select("tile", "s.*")

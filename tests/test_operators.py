@@ -363,3 +363,19 @@ def test_asof_of_equal_right_times_takes_the_least_values(spark):
     right = spark.createDataFrame([(1, 10, v) for v in (3.0, 1.0, 2.0)] * 2, "k int, t long, v double").repartition(4)
     for direction, expected in (("backward", [None, 1.0, 1.0]), ("forward", [1.0, 1.0, None]), ("nearest", [1.0, 1.0, 1.0])):
         assert [r.v for r in ts.asof(left, right, ["k"], "t", ["v"], direction).orderBy("t").collect()] == expected
+
+
+def test_region_pack(spark, tmp_path):
+    def tile(key, segments, lat=1.0, scheme="deg"):
+        return {"key": {"scheme": scheme, "key": key}, "bounds": {"minLat": lat, "maxLat": lat + 0.1, "minLon": 0.0, "maxLon": 0.1}, "segments": [{"id": f"s{i}"} for i in range(segments)], "nodes": []}
+
+    made = {"a": tile("a", 2), "b": tile("b", 1), "c": tile("c", 1, lat=9.0), "d": tile("d", 1, scheme="other"), "e": tile("e", 1)}
+    (tmp_path / "tiles").mkdir()
+    for key, t in made.items():
+        (tmp_path / "tiles" / f"{key}.json").write_text(json.dumps(t))
+    counts = {"a": 2, "b": 5, "c": 1, "d": 1, "f": 1}
+    entries = [{"key": {"scheme": "deg", "key": k}, "fileName": f"tiles/{k}.json", "segmentCount": n, "nodeCount": 0} for k, n in counts.items()]
+    (tmp_path / "manifest.json").write_text(json.dumps({"id": "p", "bbox": {"minLat": 0.0, "maxLat": 2.0, "minLon": 0.0, "maxLon": 1.0}, "tileScheme": "deg", "tiles": entries}))
+    tiles_, problems = roads.load_pack(spark, str(tmp_path))
+    assert [r.key.key for r in tiles_.collect()] == ["a"]
+    assert {tuple(r) for r in problems.collect()} == {("b", "segments"), ("c", "bounds"), ("d", "scheme"), ("e", "not listed"), ("f", "no file")}
