@@ -47,8 +47,8 @@ LOCAL = 16
 SALTS = 256
 CHUNK_BYTES = 512 << 10
 PART_BYTES = 1 << 20
-BUFFER_PIECES = 400_000
-SORT_BYTES = 768 << 10
+BUFFER_PIECES = 200_000
+SORT_BYTES = 512 << 10
 
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 

@@ -1,7 +1,8 @@
 """Python workers that give their memory back.
 
 Spark keeps workers between tasks and forks new ones beside idle ones, so what a worker holds after a task adds up in an
-executor. `lean` wraps the functions of mapInArrow: when a task ends, its worker returns freed memory to the system.
+executor. `lean` wraps the functions of mapInArrow: arrays of MAPPED bytes or more, and Arrow's buffers, come from the
+system and go back to it when they are freed, and when a task ends, its worker returns what else is free.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+MAPPED = 1 << 20
+_MMAP_THRESHOLD = -3  # of mallopt()
+
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -25,9 +29,18 @@ def trim() -> None:
         heap.malloc_trim(0)
 
 
+def settle() -> None:
+    """Take large arrays from the system, not from a heap that keeps them (where the C library can), and Arrow's too."""
+    heap = ctypes.CDLL(None)
+    if hasattr(heap, "mallopt"):
+        heap.mallopt(_MMAP_THRESHOLD, MAPPED)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def lean(run: Run) -> Run:
     @functools.wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         try:
             yield from run(batches)
         finally:
