@@ -12,8 +12,8 @@ The suffixes of a corpus do not fit one machine, so they are dealt out by conten
    start; an anchor with one context is settled by that. Each scan task sends a context once and settles repeats of
    its own, so an anchor that a third of all documents hold has at most one row for each task and context.
 3. First pieces of an anchor with several contexts fetch their bytes. The pieces of an anchor are concatenated; their
-   suffixes are sorted by doubling ranks; the nearest smaller positions before and after each suffix in that order
-   (positions in corpus order) give its longest previous factor, and starts whose factor reaches SPAN are removed.
+   suffixes are sorted by joined ranks, equal ones in corpus order; starts whose longest previous factor reaches SPAN
+   in that order are removed.
    An anchor with more than HOT contexts is split: its starts go one by one, keyed by the hash of their SPAN bytes.
 
 Anchors that a great many documents have in different contexts (of a common line, say) are known before pieces meet: a
@@ -28,10 +28,11 @@ are ordered by their hash; very long texts are scanned in overlapping parts; an
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +46,12 @@ GRAM = 24
 HOT = 4096
 LOCAL = 16
 SALTS = 256
-CHUNK_BYTES = 512 << 10
+CHUNK_BYTES = 64 << 10
 PART_BYTES = 1 << 20
+PLACE_BITS = 21
 BUFFER_PIECES = 200_000
-SORT_BYTES = 512 << 10
+SORT_BYTES = 60 << 10
+ROW_BYTES = 8
 
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
@@ -66,15 +69,14 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost least value in each window of width values."""
-    v, at, done = h, np.arange(len(h), dtype=np.int32), 1
+    """Place of the leftmost least value in each window of width values; values are compared by all but their PLACE_BITS low bits."""
+    mask = U64((1 << PLACE_BITS) - 1)
+    v, done = (h & ~mask) | np.arange(len(h), dtype=U64), 1
     while done < width:
         step = min(done, width - done)
-        take = v[step:] < v[:-step]
-        v = np.where(take, v[step:], v[:-step])
-        at = np.where(take, at[step:], at[:-step])
+        v = np.minimum(v[step:], v[:-step])
         done += step
-    return at
+    return (v & mask).astype(np.int32)
 
 
 def string_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -245,23 +247,44 @@ def _fetch(span: int, hot: int):
     return run
 
 
-def _ranks(text: np.ndarray, span: int) -> dict[int, np.ndarray]:
-    """For each place the rank of its next 1, 2, 4, ... bytes (and of span bytes) among all places; shorter ends are padded."""
-    padded = np.concatenate([text, np.zeros(2 * span + 8, np.uint8)])
-    word = np.ndarray((len(padded) - 7,), ">u8", padded.data, 0, (1,)).astype(U64)
-    ranks, width = {8: np.unique(word, return_inverse=True)[1].astype(np.int64)}, 8
+def _dense(x: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct values."""
+    order = np.argsort(x)
+    y = x[order]
+    rank = np.zeros(len(x), U64)
+    np.cumsum(y[1:] != y[:-1], out=rank[1:], dtype=U64)
+    out = np.empty_like(rank)
+    out[order] = rank
+    return out
+
 
-    def wider(step: int) -> np.ndarray:
-        r = ranks[width]
-        n = len(r) - step
-        return np.unique(r[:n] * (len(r) + 1) + r[step:], return_inverse=True)[1].astype(np.int64)
+def _ranks(text: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """The rank of the span bytes from each start among those of all starts.
 
-    while 2 * width <= span:
-        ranks[2 * width] = wider(width)
-        width *= 2
-    if width < span:
-        ranks[span] = wider(span - width)
-    return ranks
+    Ranks of 8 bytes are joined, as many as one integer holds, to ranks of wider strings, until one joint spans all.
+    """
+    if span < 8:
+        return _dense(sum(text[starts + k].astype(U64) << U64(8 * (7 - k)) for k in range(span)))
+    word = np.ndarray((len(text) - 7,), ">u8", np.ascontiguousarray(text).data, 0, (1,)).astype(U64)
+    rank, width = _dense(word), 8
+    while True:
+        bits = int(rank.max()).bit_length() or 1
+        fit = 64 // bits
+        if fit * width >= span:
+            last = span - width
+            steps = [*range(0, last, width), last]
+            return _dense(_joint(rank, starts, steps, U64(bits)))
+        steps = range(0, fit * width, width)
+        rank = _dense(_joint(rank, np.arange(len(rank) - steps[-1]), steps, U64(bits)))
+        width *= fit
+
+
+def _joint(rank: np.ndarray, at: np.ndarray, steps: Iterable[int], bits: U64) -> np.ndarray:
+    key = np.zeros(len(at), U64)
+    for step in steps:
+        key <<= bits
+        key |= rank[at + step]
+    return key
 
 
 def nearest_smaller(x: np.ndarray) -> np.ndarray:
@@ -276,36 +299,65 @@ def nearest_smaller(x: np.ndarray) -> np.ndarray:
     return before
 
 
-def longest_previous(text: np.ndarray, starts: np.ndarray, span: int = SPAN) -> np.ndarray:
+def longest_previous(text: np.ndarray, starts: np.ndarray, span: int = SPAN, least: int = 1) -> np.ndarray:
     """Longest previous factor of each start, up to span: starts are in corpus order, each with span bytes of text.
 
-    In the order of suffixes, the longest match that begins earlier is with the nearest smaller position on either side.
+    In the order of suffixes (equal ones by position), the longest match that begins earlier is with the nearest smaller
+    position on either side; a match of span bytes is with the one before. Lengths below least may be given as 0.
     """
-    ranks = _ranks(text, span)
-    top = max(ranks)
-    order = np.lexsort((np.arange(len(starts)), ranks[top][starts]))
+    rank = _ranks(text, starts, span)
+    order = np.argsort(rank, kind="stable")
+    out = np.zeros(len(order), np.int64)
+    sorted_ = rank[order]
+    whole = np.zeros(len(order), bool)
+    whole[1:] = sorted_[1:] == sorted_[:-1]
+    out[order[whole]] = span
+    if least >= span:
+        return out
     before = nearest_smaller(order)
     after = len(order) - 1 - nearest_smaller(order[::-1])[::-1]
     best = np.zeros(len(order), np.int64)
     place = starts[order]
     for other, some in ((before, before >= 0), (after, after < len(order))):
         i, j = place[some], place[other[some]]
-        common = np.where(ranks[top][i] == ranks[top][j], span, 0)
-        rest = np.flatnonzero(common == 0)
-        for width in sorted((w for w in ranks if w != span), reverse=True):
-            same = ranks[width][i[rest] + common[rest]] == ranks[width][j[rest] + common[rest]]
-            common[rest[same]] += width
-        padded = np.concatenate([text, np.zeros(2 * span, np.uint8)])
-        for _ in range(7):
-            same = (padded[i[rest] + common[rest]] == padded[j[rest] + common[rest]]) & (common[rest] < span)
-            rest = rest[same]
+        common, rest = np.zeros(len(i), np.int64), np.arange(len(i))
+        while len(rest):
+            rest = rest[text[i[rest] + common[rest]] == text[j[rest] + common[rest]]]
             common[rest] += 1
-        best[some] = np.maximum(best[some], np.minimum(common, span))
-    out = np.zeros(len(order), np.int64)
+            rest = rest[common[rest] < span]
+        best[some] = np.maximum(best[some], common)
     out[order] = best
     return out
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """The rows of batches, sorted by key, in runs of whole keys that pass limit bytes by one key at most."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column("key").to_numpy()
+        ends = np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False) + ROW_BYTES)
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if last is not None and key[0] != last:
+            cuts = np.append(0, cuts)
+        filled = np.where(cuts > 0, ends[cuts - 1], 0)
+        a, begin = 0, 0
+        while (k := np.searchsorted(filled, begin + limit - size)) < len(cuts):
+            cut = int(cuts[k])
+            if cut > a:
+                held.append(batch.slice(a, cut - a))
+            if held:
+                yield pa.Table.from_batches(held)
+            held, size, a, begin = [], 0, cut, int(filled[k])
+            cuts, filled = cuts[k + 1 :], filled[k + 1 :]
+        held.append(batch.slice(a))
+        size, last = size + int(ends[-1]) - begin, key[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _decide(span: int):
     """Whole groups of equal key, gathered up to SORT_BYTES, are sorted together: equal strings have equal keys."""
 
@@ -327,7 +379,7 @@ def _decide(span: int):
             n = count[open_]
             which = np.repeat(np.arange(len(open_)), n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hit = np.flatnonzero(longest_previous(text, offsets[which] + step, span) >= span)
+            hit = np.flatnonzero(longest_previous(text, offsets[which] + step, span, span) >= span)
             owner = open_[which[hit]]
             removed.append((doc[owner], tag[owner], lo[owner] + step[hit], np.ones(len(hit), np.int64)))
         d, t, s, n = map(np.concatenate, zip(*removed, strict=True))
@@ -336,24 +388,7 @@ def _decide(span: int):
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            key = batch.column("key").to_numpy()
-            if held and size > SORT_BYTES:
-                cut = int(np.searchsorted(key != held[-1].column("key")[-1].as_py(), True))
-                held.append(batch.slice(0, cut))
-                if cut < len(batch):
-                    yield decided(pa.Table.from_batches(held))
-                    held, size = [], 0
-                batch = batch.slice(cut)
-            if len(batch):
-                held.append(batch)
-                size += batch.column("bytes").nbytes
-        if held:
-            yield decided(pa.Table.from_batches(held))
+        yield from map(decided, _whole_keys(batches, SORT_BYTES))
 
     return run
 

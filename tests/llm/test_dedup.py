@@ -4,11 +4,12 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinetra.llm import decontamination, fmindex, neardup, suffixes
+from kinetra.llm import decontamination, fmindex, neardup, suffixes, workers
 from kinetra.llm.words import words_of, utf8
 from tests.llm.conftest import prose
 
@@ -93,6 +94,33 @@ def test_repeats(docs, rows, nothing, hot, local, monkeypatch):
     assert suffixes.digest(nothing).count() == 0
 
 
+def test_arrays_of_a_chunk_stay_in_the_heap():
+    """Eight bytes for each byte of a chunk or of a sort are below what workers map and give back one by one."""
+    assert 8 * suffixes.CHUNK_BYTES < workers.MAPPED
+    assert 8 * suffixes.SORT_BYTES < workers.MAPPED
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.binary(max_size=30)), max_size=60), st.integers(1, 9), st.integers(1, 150))
+@settings(max_examples=60, deadline=None)
+def test_runs_of_whole_keys(rows, batch, limit):
+    rows = sorted(rows, key=lambda r: r[0])
+    table = pa.table({"key": pa.array([r[0] for r in rows], pa.int64()), "bytes": pa.array([r[1] for r in rows], pa.binary())})
+    runs = [list(zip(*t.to_pydict().values(), strict=True)) for t in suffixes._whole_keys(iter(table.to_batches(batch)), limit)]
+    assert [r for run in runs for r in run] == rows
+    assert all(a[-1][0] != b[0][0] for a, b in zip(runs, runs[1:], strict=False))
+    for run in runs:
+        before = [len(b) + suffixes.ROW_BYTES for k, b in run if k != run[-1][0]]
+        assert sum(before) < limit
+
+
+@given(st.binary(min_size=30, max_size=300).map(lambda b: bytes(97 + x % 2 for x in b)), st.sampled_from([5, 8, 12, 20]))
+@settings(max_examples=40, deadline=None)
+def test_whole_matches_alone_are_the_same(raw, span):
+    text, starts = np.frombuffer(raw, np.uint8), np.arange(len(raw) - span + 1)
+    assert ((suffixes.longest_previous(text, starts, span, span) == span) == (suffixes.longest_previous(text, starts, span) == span)).all()
+    assert [raw.find(raw[i : i + span]) < i for i in starts] == (suffixes.longest_previous(text, starts, span, span) == span).tolist()
+
+
 @given(st.binary(min_size=30, max_size=300).map(lambda b: bytes(97 + x % 2 for x in b)))
 @settings(max_examples=40, deadline=None)
 def test_longest_previous_factor(raw):
