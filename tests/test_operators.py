@@ -151,6 +151,15 @@ def test_grid_join_equals_brute_force(spark):
     assert got == {(i, j) for i, x, y in pts for j, u, v in pts if math.sqrt((x - u) ** 2 + (y - v) ** 2) <= 0.7}
 
 
+def test_points_are_never_broadcast(spark):
+    """The side of nine cells a point is far larger than the optimizer's estimate; at the edge of cells no pair is lost."""
+    edge = float(np.nextafter(1.5, 0))
+    df = spark.createDataFrame([(1, edge, 0.0), (2, 3.0, 0.0), (3, 3.1, 0.0)], "a int, x double, y double")
+    out = joins.within(df, df.withColumnRenamed("a", "b"), "a", "b", 1.5)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.a, r.b) for r in out.filter("a < b").collect()) == [(i, j) for i, x in ((1, edge), (2, 3.0)) for j, y in ((2, 3.0), (3, 3.1)) if i < j and y - x <= 1.5]
+
+
 def test_splits_keep_groups_whole(spark):
     df = spark.createDataFrame([(i % 37, float(i)) for i in range(500)], "g long, v double")
     for out, name in ((splits.balanced_folds(df, "g", 4), "fold"), (splits.deficit_split(df, "g", {"a": 0.7, "b": 0.3}), "split"), (splits.best_holdout(df, "g", "v", 0.2, 50), "held_out"), (splits.descriptor_folds(df, "g", "v", 3), "fold")):
