@@ -69,3 +69,15 @@ def digitize(x: Column, edges: list[float]) -> Column:
 def finite(x: Column) -> Column:
     """x, or null where it is NaN or infinite."""
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as IEEE has it: infinite over zero by both signs, NaN for zero over zero."""
+    less = (a < 0) != b.cast("string").startswith("-")
+    over_zero = F.when((a == 0) | F.isnan(a), float("nan")).when(less, float("-inf")).when(~less, float("inf"))
+    return F.when(b == 0, over_zero).otherwise(F.try_divide(a, b))
+
+
+def logarithm(x: Column) -> Column:
+    """ln x as IEEE has it: minus infinity at zero, NaN below."""
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.ln(x))

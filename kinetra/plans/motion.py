@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kinetra.functions import geodesy
+from kinetra.functions import geodesy, scalars
 from kinetra.operators import timeseries as ts
 from kinetra.operators.aggregates import first_match, regression_metrics
 from kinetra.plans.registry import DAY, HOUR, KEY, ORDER, query, stream
@@ -319,7 +319,7 @@ SELECT event_id, CASE WHEN fix IS NULL OR t - fix > 72 * $HOUR THEN 'filter' ELS
 def x23_source_selection(spark, d):
     fix = F.max(F.when(F.col("event_type") == "view", F.col("t"))).over(W())
     df = stream(spark, d).withColumn("stale", F.coalesce(F.col("t") - fix > 72 * HOUR, F.lit(True)))
-    return df.select("event_id", F.when(F.col("stale"), "filter").otherwise("last_fix").alias("source"), F.when(F.col("stale"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), 5 / F.col("value"))), 6)).otherwise(F.lit(1.0)).alias("confidence"))
+    return df.select("event_id", F.when(F.col("stale"), "filter").otherwise("last_fix").alias("source"), F.when(F.col("stale"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), scalars.quotient(F.lit(5.0), F.col("value")))), 6)).otherwise(F.lit(1.0)).alias("confidence"))
 
 
 @query("""WITH $EV, x AS (SELECT event_id, t, user_id, first(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS t0 FROM ev) SELECT event_id, t - t0 AS relative_ns, (t - t0) // 1000000 + 1700000000000 AS wall_ms FROM x""")

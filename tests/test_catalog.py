@@ -37,3 +37,20 @@ def test_query_matches_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_other_queries_give_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """events with values that are zero, negative, null, NaN and infinite."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    c = duckdb.connect()
+    values = "[0.0, -0.0, -3.5, NULL, 'nan', 'inf', '-inf', 1e-300, 2.5, 90.0, -90.0]"
+    c.sql(f"copy (select event_id, ts, user_id, CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'error' END AS event_type, CAST({values} AS DOUBLE[])[event_id % 11 + 1] AS value, props from '{SF}/events.parquet') to '{folder}/events.parquet'")
+    c.sql(f"create view events as select * from '{folder}/events.parquet'")
+    return c, folder
+
+
+@pytest.mark.parametrize("name", ["x23_source_selection"])
+def test_odd_values_match_the_sql(spark, odd, name):
+    c, folder = odd
+    assert plain(catalog.QUERIES[name](spark, folder).toPandas()) == plain(c.sql(catalog.ORACLE_SQL[name]).df())
