@@ -20,9 +20,14 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return F.lit(2 * radius) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
+def in_range(lat: Column, lon: Column) -> Column:
+    """Finite and in range, which NaN is not; null where that depends on a null."""
+    return lat.between(-90, 90) & lon.between(-180, 180) & ~F.isnan(lat) & ~F.isnan(lon)
+
+
 def valid(lat: Column, lon: Column) -> Column:
     """Finite and in range; NaN and null are not."""
-    return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~F.isnan(lat) & ~F.isnan(lon), F.lit(False))
+    return F.coalesce(in_range(lat, lon), F.lit(False))
 
 
 def ecef(lat: Column, lon: Column, alt: Column) -> Column:

@@ -50,7 +50,7 @@ def odd(tmp_path_factory):
     return c, folder
 
 
-@pytest.mark.parametrize("name", ["x23_source_selection"])
+@pytest.mark.parametrize("name", ["x23_source_selection", "p4_p6_p7_predicates"])
 def test_odd_values_match_the_sql(spark, odd, name):
     c, folder = odd
     assert plain(catalog.QUERIES[name](spark, folder).toPandas()) == plain(c.sql(catalog.ORACLE_SQL[name]).df())
