@@ -54,3 +54,12 @@ def odd(tmp_path_factory):
 def test_odd_values_match_the_sql(spark, odd, name):
     c, folder = odd
     assert plain(catalog.QUERIES[name](spark, folder).toPandas()) == plain(c.sql(catalog.ORACLE_SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", ["g1_balanced_group_folds"])
+@pytest.mark.parametrize("customers", [0, 1, 2, 4])
+def test_splits_of_few_groups_match_the_sql(spark, tmp_path, name, customers):
+    c = duckdb.connect()
+    c.sql(f"copy (select * replace (CASE WHEN o_custkey % {customers} > 0 THEN o_custkey % {customers} END AS o_custkey) from '{SF}/orders.parquet' where {customers} > 0) to '{tmp_path}/orders.parquet'")
+    c.sql(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    assert plain(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == plain(c.sql(catalog.ORACLE_SQL[name]).df())

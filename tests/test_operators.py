@@ -168,6 +168,19 @@ def test_splits_keep_groups_whole(spark):
     assert max(n) - min(n) <= 14
 
 
+def test_many_groups_are_dealt_like_single_ones(spark, monkeypatch):
+    """Beyond GROUPS, sizes of splits are those of the greedy over the groups themselves."""
+    rng = np.random.default_rng(5)
+    sizes = [int(n) for n in np.concatenate([[90, 40, 40, 7], rng.geometric(0.2, 300), np.ones(200)])]
+    df = spark.createDataFrame([(g if g else None,) for g, n in enumerate(sizes) for _ in range(n)], "g long")
+    count = lambda out, name: sorted(tuple(r) for r in out.groupBy(name).agg(F.count("*"), F.countDistinct(F.struct("g"))).collect())
+    single = count(splits.balanced_folds(df, "g", 5), "fold")
+    monkeypatch.setattr(splits, "GROUPS", 10)
+    folds_ = splits.balanced_folds(df, "g", 5)
+    assert count(folds_, "fold") == single
+    assert folds_.groupBy("g").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+
+
 def test_contracts(spark):
     df = spark.createDataFrame([(1, 1, 0.4), (1, 2, 0.6), (2, 1, 0.5), (2, 1, 0.4)], "k int, t long, p double")
     assert schemas.strictly_increasing(df, ["k"], ["t", "p"], "t").count() == 1
