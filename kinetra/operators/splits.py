@@ -101,13 +101,18 @@ def balanced_folds(df: DataFrame, group: str, folds: int, seed: int = 42) -> Dat
     return _back(df, out, "fold", "int")
 
 
-def deficit_split(df: DataFrame, group: str, shares: dict[str, float]) -> DataFrame:
+def deficit_split(df: DataFrame, group: str, shares: dict[str, float], spread: bool = True) -> DataFrame:
     """split of each row: groups by falling size, each to the split that is furthest below its share; fewer groups than
     splits go to the first splits in order if spread."""
+    if _many(df, group):
+        total = df.count()
+        names = F.array(*[F.lit(s) for s in shares])
+        dealt = _turns(df, group, [-Fraction(share * total) for share in shares.values()], False)
+        return dealt.withColumn("split", F.element_at(names, F.col("_split") + 1)).drop("_split")
     df, units = _units(df, group)
     total, held, out = sum(u[1] for u in units), dict.fromkeys(shares, 0), []
     for i, (unit, n) in enumerate(sorted(units, key=lambda u: -u[1])):
-        name = list(shares)[i] if len(units) < len(shares) else max(shares, key=lambda s: shares[s] * total - held[s])
+        name = list(shares)[i] if spread and len(units) < len(shares) else max(shares, key=lambda s: shares[s] * total - held[s])
         held[name] += n
         out.append((unit, name))
     return _back(df, out, "split", "string")

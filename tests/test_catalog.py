@@ -56,7 +56,7 @@ def test_odd_values_match_the_sql(spark, odd, name):
     assert plain(catalog.QUERIES[name](spark, folder).toPandas()) == plain(c.sql(catalog.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["g1_balanced_group_folds"])
+@pytest.mark.parametrize("name", ["g1_balanced_group_folds", "g2_deficit_split"])
 @pytest.mark.parametrize("customers", [0, 1, 2, 4])
 def test_splits_of_few_groups_match_the_sql(spark, tmp_path, name, customers):
     c = duckdb.connect()

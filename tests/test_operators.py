@@ -174,11 +174,12 @@ def test_many_groups_are_dealt_like_single_ones(spark, monkeypatch):
     sizes = [int(n) for n in np.concatenate([[90, 40, 40, 7], rng.geometric(0.2, 300), np.ones(200)])]
     df = spark.createDataFrame([(g if g else None,) for g, n in enumerate(sizes) for _ in range(n)], "g long")
     count = lambda out, name: sorted(tuple(r) for r in out.groupBy(name).agg(F.count("*"), F.countDistinct(F.struct("g"))).collect())
-    single = count(splits.balanced_folds(df, "g", 5), "fold")
+    shares = {"train": 0.7, "validation": 0.15, "test": 0.15}
+    single = count(splits.balanced_folds(df, "g", 5), "fold"), count(splits.deficit_split(df, "g", shares), "split")
     monkeypatch.setattr(splits, "GROUPS", 10)
-    folds_ = splits.balanced_folds(df, "g", 5)
-    assert count(folds_, "fold") == single
-    assert folds_.groupBy("g").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+    folds_, split = splits.balanced_folds(df, "g", 5), splits.deficit_split(df, "g", shares)
+    assert (count(folds_, "fold"), count(split, "split")) == single
+    assert split.groupBy("g").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
 
 
 def test_contracts(spark):
