@@ -9,13 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import decontamination, neardup, packing, queries, suffixes, tokens, toxicity
+from kinetra.llm import decontamination, neardup, packing, queries, suffixes, tokens, toxicity, workers
 from kinetra.session import durable, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _CARRY = ("doc_id", "lang", "source", "n_chars")
 
 
+def _begin(spark: SparkSession) -> None:
+    """Executors start each stage without the heap that the one before has left."""
+    queries.tuned(spark)
+    workers.slim(spark)
+
+
 def _with_length(before: DataFrame, text: str) -> DataFrame:
     """The columns of documents; n_chars is that of the text as it is now, where it changed."""
     changed = ~F.col("_before").eqNullSafe(F.length(text))
@@ -24,7 +30,7 @@ def _with_length(before: DataFrame, text: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the model learns from the labels of documents in docs."""
-    queries.tuned(spark)
+    _begin(spark)
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, _CARRY).filter(F.col("_toxicity") < 0.5).select(*COLUMNS)
@@ -32,7 +38,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the least doc_id. Rows without doc_id stay."""
-    queries.tuned(spark)
+    _begin(spark)
     docs = docs.select(*COLUMNS)
     gone = neardup.classes(docs).filter("doc_id <> class_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -40,21 +46,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that occur earlier; a document that loses all of its text goes."""
-    queries.tuned(spark)
+    _begin(spark)
     found = suffixes.deduplicate(docs.select(*COLUMNS).withColumn("_before", F.length("text")), (*_CARRY, "_before"))
     return _with_length(found.filter((F.col("n_removed") == 0) | (F.length("kept") > 0)), "kept")
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of the benchmark."""
-    queries.tuned(spark)
+    _begin(spark)
     docs = docs.select(*COLUMNS).withColumn("_before", F.length("text"))
     return _with_length(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), (*_CARRY, "_before")), "text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of at most 4096 tokens."""
-    queries.tuned(spark)
+    _begin(spark)
     return packing.pack_documents(docs, tokens.public(queries.TOKENIZER))
 
 

@@ -2,7 +2,8 @@
 
 Spark keeps workers between tasks and forks new ones beside idle ones, so what a worker holds after a task adds up in an
 executor. `lean` wraps the functions of mapInArrow: arrays of MAPPED bytes or more, and Arrow's buffers, come from the
-system and go back to it when they are freed, and when a task ends, its worker returns what else is free.
+system and go back to it when they are freed, and when a task ends, its worker returns what else is free. `slim` does the
+same for the JVMs of executors, whose heaps otherwise stay as large as any earlier step has made them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 MAPPED = 1 << 20
 _MMAP_THRESHOLD = -3  # of mallopt()
@@ -47,3 +49,12 @@ def lean(run: Run) -> Run:
             trim()
 
     return task
+
+
+def slim(spark: SparkSession) -> None:
+    """A full garbage collection in the executors, a task a core: G1 returns heap that is free after one to the system.
+
+    No result depends on it, nor on whether it reaches every executor.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("reflect('java.lang.System', 'gc') AS done").collect()

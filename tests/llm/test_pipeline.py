@@ -90,3 +90,20 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, path).count() == 0
+
+
+def test_every_stage_begins_with_slim_executors(spark, monkeypatch):
+    from kinetra.llm import workers
+
+    workers.slim(spark)  # runs wherever the executors are
+    begun = []
+
+    def slim(session):
+        begun.append(session)
+        raise InterruptedError
+
+    monkeypatch.setattr(workers, "slim", slim)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(InterruptedError):
+            stage(spark, spark.range(1), "nowhere")
+    assert len(begun) == len(corpus_pipeline.STAGES)
